@@ -29,13 +29,14 @@ def ranked(df: DataFrame, keys, order, chunk, name="rk", total=None) -> DataFram
     return out.drop("_before")
 
 
-def lagged(df: DataFrame, keys, order, chunk, values, prefix="prev_") -> DataFrame:
-    """Columns `prev_<v>` of the preceding row inside `keys`; NULL for the first."""
-    s = F.struct(*values)
-    tot = chunk_totals(df, keys, chunk, {"_last": F.max_by(s, F.struct(*order))},
-                       {"_carry": lambda w: F.lag("_last").over(w)})
+def lagged(df: DataFrame, keys, order, chunk, values, prefix="prev_", ahead=False) -> DataFrame:
+    """Columns `prev_<v>` of the preceding row inside `keys` (of the next one with `ahead`); NULL at the end."""
+    s, o = F.struct(*values), F.struct(*order)
+    shift = F.lead if ahead else F.lag
+    edge = F.min_by(s, o) if ahead else F.max_by(s, o)
+    tot = chunk_totals(df, keys, chunk, {"_edge": edge}, {"_carry": lambda w: shift("_edge").over(w)})
     inner = Window.partitionBy(*keys, chunk).orderBy(*order)
-    out = df.join(tot, [*keys, chunk]).withColumn("_p", F.coalesce(F.lag(s).over(inner), F.col("_carry")))
+    out = df.join(tot, [*keys, chunk]).withColumn("_p", F.coalesce(shift(s).over(inner), F.col("_carry")))
     return out.select("*", *[F.col(f"_p.{v}").alias(prefix + v) for v in values]).drop("_p", "_carry")
 
 

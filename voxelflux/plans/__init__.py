@@ -1,7 +1,7 @@
 """Query registration by section; importing a module registers its queries."""
 import importlib
 
-MODULES = ("q_ingest", "q_match")
+MODULES = ("q_ingest", "q_match", "q_trains", "q_boxes")
 
 
 def load():

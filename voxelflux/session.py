@@ -9,7 +9,7 @@ def local_session(cpus="*", partitions=8, app="voxelflux") -> SparkSession:
              .config("spark.sql.shuffle.partitions", str(partitions))
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.adaptive.enabled", "true")
-             .config("spark.ui.enabled", "false")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
