@@ -71,8 +71,7 @@ IN_BOX = BOXES + """, ib0 AS (SELECT e.rec, e.seq, e.w, e.t_us, e.x, e.y, e.p, g
  ib AS (SELECT * FROM ib1 WHERE x >= bx - 0.5 AND x <= bx+bw+0.5 AND y >= by - 0.5 AND y <= by+bh+0.5)"""
 
 
-@query("j5_in_box", IN_BOX + " SELECT rec, track_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM ib GROUP BY ALL"
-       if False else f"WITH {IN_BOX} SELECT rec, track_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM ib GROUP BY ALL")
+@query("j5_in_box", f"WITH {IN_BOX} SELECT rec, track_id, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM ib GROUP BY ALL")
 def j5(spark, d):
     seg = label_tables(spark, d)[2]
     return B.in_box(events(spark, d), seg, DEMO, 0.5, TILE).groupBy("rec", "track_id").agg(
@@ -227,9 +226,11 @@ def box_shares(ev, life, seg, sensor, every, length, margin, min_life, classes):
 
 # ---- label clock and label convention
 
-J19_SQL = f"""WITH {BOXES}, cv(conv, off) AS (VALUES ('as_stored', 0::BIGINT), ('minus_offset', 172800000000)), wc AS (SELECT conv, off, rec,
+LATE = BOXES.replace("FROM labels_raw GROUP BY ALL),\ncls0", "FROM labels_raw WHERE t_us >= 172800000000 GROUP BY ALL),\ncls0")
+assert LATE != BOXES
+J19_SQL = f"""WITH {LATE}, cv(conv, off) AS (VALUES ('as_stored', 0::BIGINT), ('minus_offset', 172800000000)), wc AS (SELECT conv, off, rec,
  track_id, t_first, t_last, unnest(generate_series((t_first - off + 43199999999)//86400000000, (t_last - off - 43200000000)
- //86400000000)) AS w FROM tracks, cv WHERE t_first >= 172800000000), bc0 AS (SELECT * FROM {at_sql('wc', '(s0.w*86400000000 + 43200000000 + s0.off)')}), bc1 AS (SELECT
+ //86400000000)) AS w FROM tracks, cv), bc0 AS (SELECT * FROM {at_sql('wc', '(s0.w*86400000000 + 43200000000 + s0.off)')}), bc1 AS (SELECT
  conv, rec, w, track_id, greatest(0.0::DOUBLE, bx) AS x0, greatest(0.0::DOUBLE, by) AS y0, least(16.0::DOUBLE, bx+bw) AS x1,
  least(8.0::DOUBLE, by+bh) AS y1 FROM bc0), bc AS (SELECT conv, rec, w, track_id, x0 AS bx, y0 AS by, x1-x0 AS bw, y1-y0 AS bh FROM bc1
  WHERE x1 > x0 AND y1 > y0), px AS (SELECT conv, rec, w, track_id, x, y, (x >= ceil(bx) AND x < ceil(bx+bw) AND y >= ceil(by) AND y <
@@ -245,8 +246,7 @@ J19_SQL = f"""WITH {BOXES}, cv(conv, off) AS (VALUES ('as_stored', 0::BIGINT), (
 @query("j19_label_clock", J19_SQL)
 def j19(spark, d):
     ev = events(spark, d)
-    lab, life, _ = label_tables(spark, d)
-    late = lab.join(life.filter(F.col("t_first") >= 2 * DAY).select("rec", "track_id"), ["rec", "track_id"], "left_semi")
+    late = B.clean_labels(raw_labels(spark, d)).filter(F.col("t_us") >= 2 * DAY)
     parts = []
     for conv, off in (("as_stored", 0), ("minus_offset", 2 * DAY)):
         seg = B.segments(late.withColumn("t_us", F.col("t_us") - off), DAY)
@@ -283,7 +283,7 @@ J20_SQL = f"""WITH {BOXES}, sh(s) AS (VALUES (-21600000000::BIGINT),(0),(2160000
  GROUP BY ALL), nf AS (SELECT s, count(*) AS n_frames FROM fr GROUP BY s), q AS (SELECT s, c, n_frames, coalesce(events_in,0) AS
  events_in, coalesce(area_in,0) AS area_in, coalesce(n,0) - coalesce(events_in,0) AS events_out, n_frames*128 - coalesce(area_in,0) AS
  area_out FROM nf CROSS JOIN cc LEFT JOIN ai USING (s,c) LEFT JOIN ei USING (s,c) LEFT JOIN et USING (s)) SELECT s, c, n_frames,
- events_in, area_in, events_out, area_out, round((events_in/area_in)/(events_out/area_out),6) AS rho FROM q"""
+ events_in, area_in, events_out, area_out, round((events_in/nullif(area_in,0))/nullif(events_out/nullif(area_out,0),0),6) AS rho FROM q"""
 
 
 @query("j20_label_convention", J20_SQL)
@@ -379,7 +379,7 @@ def p11(spark, d):
         "rec", "w", "track_id", "eligible", "x0", "y0", "x1", "y1")
 
 
-@query("t5_densest_box", f"""WITH {BOXES}, {SPAN.replace('seq,', 'seq,')}, {HOT}, {CENTRES}, {ELIG}, nx AS (SELECT k.rec, k.w AS g, e.w, e.x, e.y
+@query("t5_densest_box", f"""WITH {BOXES}, {SPAN}, {HOT}, {CENTRES}, {ELIG}, nx AS (SELECT k.rec, k.w AS g, e.w, e.x, e.y
  FROM keys k JOIN ev e ON e.rec = k.rec AND e.w = k.w+1 ANTI JOIN hot h ON h.rec = k.rec AND h.g = k.w AND h.x = e.x AND h.y = e.y),
  n AS (SELECT el.rec, el.w, el.track_id, count(*) AS n FROM el JOIN nx ON nx.rec = el.rec AND nx.w = el.w AND nx.x >= bx AND nx.x <
  bx+bw AND nx.y >= by AND nx.y < by+bh WHERE eligible GROUP BY ALL) SELECT stratum, rec, w, track_id, n FROM (SELECT CASE WHEN rec LIKE
