@@ -71,11 +71,15 @@ def summarize(counts: DataFrame, points: DataFrame) -> DataFrame:
     """Per (rec, rho): fidelity, bits per true event, bits of the baselines at the same share, gains."""
     s = counts.groupBy("rec", "rho").agg(*[F.sum(c).alias(c) for c in ("n_key", "n_rec", "n_true", "pairs", "bits")])
     s = group_summary(s).withColumn("bits", F.col("bits") / F.col("n_true"))
-    direct = points.filter("scheme = 'direct'").select("rec", F.col("bits").alias("bits_direct"))
-    thin = curves.with_origin(points.filter("scheme = 'direct' OR scheme LIKE 'thin%'"), ["rec"])
-    base = curves.hull(curves.with_origin(points.filter("scheme NOT LIKE 'cap%'"), ["rec"]), ["rec"])
-    s = s.join(direct, "rec")
-    s = curves.interpolate(s, thin, ["rec"], "q_eq", out="bits_thin")
-    s = curves.interpolate(s, base, ["rec"], "q_eq", out="bits_base")
+    sch = F.col("scheme")
+    c = points.groupBy("rec").agg(
+        F.max(F.when(sch == "direct", F.col("bits"))).alias("bits_direct"),
+        curves.curve(when=(sch == "direct") | sch.startswith("thin")).alias("_thin"),
+        curves.curve(when=~sch.startswith("cap")).alias("_all"))
+    c = c.select("rec", "bits_direct", curves.with_origin(F.col("_thin")).alias("_thin"),
+                 curves.with_origin(F.col("_all")).alias("_all"))
+    c = c.withColumn("_hull", curves.hull(F.col("_all"))).drop("_all")
+    s = s.join(c, "rec").withColumns({"bits_thin": curves.lookup(F.col("_thin"), "q_eq"),
+                                      "bits_base": curves.lookup(F.col("_hull"), "q_eq")}).drop("_thin", "_hull")
     return s.withColumns({"gain": ratio("bits_base", "bits"), "gain_thin": ratio("bits_thin", "bits"),
                           "J": ratio(F.col("bits_base") - F.col("bits"), "bits_direct")})

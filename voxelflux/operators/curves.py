@@ -1,34 +1,38 @@
-"""Curves of few points per key: lower convex envelopes, interpolation, crossings, tuning."""
+"""Curves of few points per key (a ladder of schemes): envelopes, interpolation, crossings.
+
+A curve is one sorted array column, so that a hull or a lookup is a row expression and a curve is built by one aggregation.
+"""
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def with_origin(points: DataFrame, keys) -> DataFrame:
-    """Cheapest point per share, and the origin."""
-    zero = points.select(*keys).distinct().withColumns({"share": F.lit(0.0), "bits": F.lit(0.0)})
-    return points.select(*keys, "share", "bits").unionByName(zero).groupBy(*keys, "share").agg(F.min("bits").alias("bits"))
+def curve(x="share", y="bits", when=None):
+    """Aggregate: the points (x, y) as a sorted array, with the cheapest point per x first."""
+    pt = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return F.array_sort(F.collect_list(F.when(when, pt) if when is not None else pt))
+
+
+def with_origin(points):
+    """Origin added, one point per x (the cheapest)."""
+    zero = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    p = F.array_sort(F.concat(zero, points))
+    return F.filter(p, lambda v, i: (i == 0) | (F.get(p, i - 1).x != v.x))
 
 
-def hull(points: DataFrame, keys) -> DataFrame:
+def hull(points):
     """Points of the lower convex envelope: those with no chord of two other points on or below them."""
-    a = points.select(*keys, F.col("share").alias("sa"), F.col("bits").alias("ba"))
-    b = points.select(*keys, F.col("share").alias("sb"), F.col("bits").alias("bb"))
-    spanned = points.join(a, list(keys)).filter("sa < share").join(b, list(keys)).filter("sb > share").filter(
-        "(share - sa) * (bb - ba) <= (bits - ba) * (sb - sa)").select(*keys, "share").distinct()
-    return points.join(spanned, [*keys, "share"], "left_anti")
-
-
-def interpolate(queries: DataFrame, points: DataFrame, keys, at, x="share", y="bits", out="value", clamp=True) -> DataFrame:
-    """Linear interpolation of y over x at column `at`; beyond the ends the end value, or NULL with clamp off."""
-    pts = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("_p"))
-    q = queries.join(pts, list(keys), "left")
-    lo = F.element_at(F.filter("_p", lambda v: v.x <= F.col(at)), -1)
-    hi = F.get(F.filter("_p", lambda v: v.x >= F.col(at)), F.lit(0))
-    q = q.withColumns({"_lo": F.when(F.size(F.filter("_p", lambda v: v.x <= F.col(at))) > 0, lo), "_hi": hi})
-    inside = F.when(F.col("_hi.x") == F.col("_lo.x"), F.col("_lo.y")).otherwise(
-        F.col("_lo.y") + (F.col("_hi.y") - F.col("_lo.y")) * (F.col(at) - F.col("_lo.x")) / (F.col("_hi.x") - F.col("_lo.x")))
-    if clamp:
-        inside = F.when(F.col("_lo").isNull(), F.col("_hi.y")).when(F.col("_hi").isNull(), F.col("_lo.y")).otherwise(inside)
-    return q.withColumn(out, inside).drop("_p", "_lo", "_hi")
+    def spanned(z):
+        return F.exists(points, lambda a: (a.x < z.x) & F.exists(points, lambda b: (b.x > z.x) & (
+            (z.x - a.x) * (b.y - a.y) <= (z.y - a.y) * (b.x - a.x))))
+    return F.filter(points, lambda z: ~spanned(z))
+
+
+def lookup(points, at, clamp=True):
+    """Linear interpolation at `at`; beyond the ends the end value, or NULL with clamp off."""
+    at = F.col(at) if isinstance(at, str) else at
+    below, above = F.filter(points, lambda v: v.x <= at), F.filter(points, lambda v: v.x >= at)
+    lo, hi = F.get(below, F.size(below) - 1), F.get(above, F.lit(0))
+    v = F.when(hi.x == lo.x, lo.y).otherwise(lo.y + (hi.y - lo.y) * (at - lo.x) / (hi.x - lo.x))
+    return F.when(lo.isNull(), hi.y).when(hi.isNull(), lo.y).otherwise(v) if clamp else v
 
 
 def first_crossing(ladder: DataFrame, keys, target, order="step", f="f", b="b") -> DataFrame:

@@ -101,7 +101,7 @@ def m8(spark, d):
  DOUBLE)+dx+(ia/2.0::DOUBLE)*(x-cx)+(ib/2.0::DOUBLE)*(y-cy),0) AS BIGINT) AS x, CAST(round_even(CAST(y AS DOUBLE)+dy+(ic/2.0::DOUBLE)*(x-cx)+
  (id/2.0::DOUBLE)*(y-cy),0) AS BIGINT) AS y FROM j), a AS (SELECT rec, g+m AS w, g, m, p, tb, y//2 AS by, x//2 AS bx, count(*) AS c FROM r
  WHERE x >= 0 AND x < 16 AND y >= 0 AND y < 8 GROUP BY ALL), b AS (SELECT rec, w, p, least(2, tr*3//86400000000) AS tb, y//2 AS by, x//2 AS
- bx, count(*) AS c FROM ev GROUP BY ALL) SELECT rec, g, m, CAST(sum(a.c) AS BIGINT) AS n_rec, CAST(coalesce(sum(least(a.c,b.c)),0) AS
+ bx, count(*) AS c FROM ev GROUP BY ALL) SELECT rec, g, m, CAST(sum(a.c) AS BIGINT) AS n_rec, CAST(coalesce(sum(least(a.c,coalesce(b.c,0))),0) AS
  BIGINT) AS pairs FROM a LEFT JOIN b USING (rec, w, p, tb, by, bx) GROUP BY ALL""")
 def a15(spark, d):
     """The receiver sees the coded key events and the coded maps only."""
@@ -243,8 +243,9 @@ def a14(spark, d):
 @query("a26_envelope", f"WITH {EV}, {CODEC} SELECT rec, round(share,6) AS share, round(bits,6) AS bits FROM hu")
 def a26(spark, d):
     ev = events(spark, d)
-    p = Cv.with_origin(K.scheme_points(ev, keys(ev), DEMO, 4, SHARES, RHOS), ["rec"])
-    return Cv.hull(p, ["rec"]).select("rec", r6("share", "share"), r6("bits", "bits"))
+    p = K.scheme_points(ev, keys(ev), DEMO, 4, SHARES, RHOS).groupBy("rec").agg(Cv.curve().alias("c"))
+    p = p.select("rec", Cv.with_origin(F.col("c")).alias("c")).select("rec", F.explode(Cv.hull(F.col("c"))).alias("v"))
+    return p.select("rec", r6("v.x", "share"), r6("v.y", "bits"))
 
 
 @query("a28_tuning", f"""WITH {EV}, {SUMMARY}, j AS (SELECT rho, median((bits_base-bits)/bits_direct) AS J, median(F) AS F, median(bits) AS bits,
@@ -276,18 +277,18 @@ def a36(spark, d):
 def a27(spark, d):
     ev = events(spark, d)
     pts = K.scheme_points(ev, keys(ev), DEMO, 4, SHARES, RHOS)
-    th = Cv.with_origin(pts.filter("scheme = 'direct' OR scheme LIKE 'thin%'"), ["rec"])
-    q = pts.select("rec").distinct().withColumn("at", F.lit(0.6))
-    q = Cv.interpolate(q, th, ["rec"], "at", out="b_interp", clamp=False)
-    lad = pts.filter("scheme LIKE 'thin%'").select("rec", F.col("scheme").alias("step"), F.col("share").alias("f"), F.col("bits").alias("b"))
-    return q.join(Cv.first_crossing(lad, ["rec"], 0.6), "rec", "left").select("rec", r6("b_interp", "b_interp"), r6("b_at", "b_cross"))
+    sch = F.col("scheme")
+    q = pts.groupBy("rec").agg(Cv.curve(when=(sch == "direct") | sch.startswith("thin")).alias("c"))
+    q = q.select("rec", r6(Cv.lookup(Cv.with_origin(F.col("c")), F.lit(0.6), clamp=False), "b_interp"))
+    lad = pts.filter("scheme LIKE 'thin%'").select("rec", sch.alias("step"), F.col("share").alias("f"), F.col("bits").alias("b"))
+    return q.join(Cv.first_crossing(lad, ["rec"], 0.6), "rec", "left").select("rec", "b_interp", r6("b_at", "b_cross"))
 
 
 @query("a40_scheme_table", f"""WITH {EV}, {GROUPS}, {SUBSETS}, bt AS {bits_sql('sub', 'scheme, rec, w', (2, 3))}, a AS (SELECT scheme, rec, w, p, least(2,
  tr*3//86400000000) AS tb, y//2 AS by, x//2 AS bx, count(*) AS c FROM sub GROUP BY ALL), t AS (SELECT rec, w, p, tb, by, bx, c AS ct FROM a WHERE
  scheme = 'direct'), m AS (SELECT scheme, rec, w, sum(least(c, ct)) AS m FROM a JOIN t USING (rec, w, p, tb, by, bx) GROUP BY ALL), n AS (SELECT rec,
  w, count(*) AS nt FROM ev GROUP BY ALL), ks(K) AS (VALUES (2::BIGINT),(4)), f AS (SELECT scheme, rec, K, sum(bits) AS bits, sum(bt.n) AS n1, sum(nt)
- AS n2, sum(m) AS m FROM bt JOIN m USING (scheme, rec, w) JOIN n USING (rec, w) JOIN gw USING (rec, w), ks WHERE gw.m < K GROUP BY ALL), dd AS (SELECT
+ AS n2, sum(m.m) AS m FROM bt JOIN m USING (scheme, rec, w) JOIN n USING (rec, w) JOIN gw USING (rec, w), ks WHERE gw.m < K GROUP BY ALL), dd AS (SELECT
  rec, K, bits AS bd, n2 AS nd FROM f WHERE scheme = 'direct') SELECT scheme, rec, K, round(bits/nd,6) AS b, round(bd/nd,6) AS b_direct,
  round(bits/bd,6) AS size_ratio, round(2.0*m/(n1+n2),6) AS F, round(1 - n1/n2,6) AS lost_share FROM f JOIN dd USING (rec, K)""")
 def a40(spark, d):
