@@ -2,7 +2,8 @@
 
 A key (a recording, say) may hold a third of all rows, so running counts, running maxima and lags are done in two
 phases: inside fixed chunks of the order column, and over the small table of chunk totals. Chunk boundaries are a
-function of the data, so a lost executor recomputes the same result.
+function of the data, so a lost executor recomputes the same result. A scan evaluates its input twice (rows and totals);
+callers that chain scans cut the lineage between them.
 """
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -18,15 +19,22 @@ def chunk_totals(df: DataFrame, keys, chunk, aggs, carried) -> DataFrame:
 
 def ranked(df: DataFrame, keys, order, chunk, name="rk", total=None) -> DataFrame:
     """0-based rank of each row inside `keys` in `order`; `chunk` must be monotone in `order`."""
-    carried = {"_before": lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(FIRST, PREV)), F.lit(0))}
-    if total:
-        carried["_total"] = lambda w: F.sum("_n").over(w.rowsBetween(FIRST, Window.unboundedFollowing))
-    tot = chunk_totals(df, keys, chunk, {"_n": F.count(F.lit(1))}, carried)
-    inner = Window.partitionBy(*keys, chunk).orderBy(*order)
-    out = df.join(tot, [*keys, chunk]).withColumn(name, F.col("_before") + F.row_number().over(inner) - 1)
-    if total:
-        out = out.withColumnRenamed("_total", total)
-    return out.drop("_before")
+    return ranked_many(df, [(keys, name, total)], order, chunk)
+
+
+def ranked_many(df: DataFrame, specs, order, chunk) -> DataFrame:
+    """Several ranks (keys, name[, total]) in one order. All totals are taken from `df` itself, so it is evaluated once per
+    rank and once for the rows, not twice per nesting level."""
+    out = df
+    for keys, name, *rest in specs:
+        keys, total = list(keys), (rest[0] if rest else None)
+        carried = {"_before": lambda w: F.coalesce(F.sum("_cnt").over(w.rowsBetween(FIRST, PREV)), F.lit(0))}
+        if total:
+            carried[total] = lambda w: F.sum("_cnt").over(w.rowsBetween(FIRST, Window.unboundedFollowing))
+        tot = chunk_totals(df, keys, chunk, {"_cnt": F.count(F.lit(1))}, carried)
+        inner = Window.partitionBy(*keys, chunk).orderBy(*order)
+        out = out.join(tot, [*keys, chunk]).withColumn(name, F.col("_before") + F.row_number().over(inner) - 1).drop("_before")
+    return out
 
 
 def lagged(df: DataFrame, keys, order, chunk, values, prefix="prev_", ahead=False) -> DataFrame:
@@ -42,12 +50,17 @@ def lagged(df: DataFrame, keys, order, chunk, values, prefix="prev_", ahead=Fals
 
 def running(df: DataFrame, keys, order, chunk, value, fn, name, inclusive=True) -> DataFrame:
     """Running `fn` (F.sum or F.max) of `value` in `order` inside `keys`."""
-    tot = chunk_totals(df, keys, chunk, {"_v": fn(value)},
-                       {"_c": lambda w: fn("_v").over(w.rowsBetween(FIRST, PREV))})
+    return running_many(df, keys, order, chunk, [(value, fn, name)], inclusive)
+
+
+def running_many(df: DataFrame, keys, order, chunk, specs, inclusive=True) -> DataFrame:
+    """Several running aggregates (value, fn, name) over the same keys and order, with one table of chunk totals."""
+    aggs = {f"_v{i}": fn(v) for i, (v, fn, _) in enumerate(specs)}
+    carried = {f"_c{i}": (lambda w, i=i, fn=fn: fn(f"_v{i}").over(w.rowsBetween(FIRST, PREV))) for i, (_, fn, _) in enumerate(specs)}
+    tot = chunk_totals(df, keys, chunk, aggs, carried)
     inner = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(FIRST, 0 if inclusive else PREV)
-    cur, old = fn(value).over(inner), F.col("_c")
-    if fn is F.sum:
-        both = F.coalesce(old, F.lit(0)) + F.coalesce(cur, F.lit(0))
-    else:
-        both = F.greatest(old, cur)
-    return df.join(tot, [*keys, chunk]).withColumn(name, both).drop("_c")
+    new = {}
+    for i, (v, fn, name) in enumerate(specs):
+        cur, old = fn(v).over(inner), F.col(f"_c{i}")
+        new[name] = F.coalesce(old, F.lit(0)) + F.coalesce(cur, F.lit(0)) if fn is F.sum else F.greatest(old, cur)
+    return df.join(tot, [*keys, chunk]).withColumns(new).drop(*carried)

@@ -169,10 +169,10 @@ def cap_per_block(ev: DataFrame, n, sensor: Sensor, keys=("rec", "w"), slices=16
     n = col(n)
     df = ev.withColumn("block", block_id("x", "y", sensor.block, sensor.width)).withColumn(
         "_chunk", idiv("tr", max(1, sensor.t0 // slices)))
-    df = ranked(df, [*keys, "block"], ["t_us", "seq"], "_chunk", "rk", "_N")
-    N, r = F.col("_N"), F.col("rk")
+    df = ranked(df, [*keys, "block"], ["t_us", "seq"], "_chunk", "rk", "_tot")
+    N, r = F.col("_tot"), F.col("rk")
     j = idiv(n * 2 * r + N - 1, N * 2)
-    return df.filter((N <= n) | ((j < n) & (idiv((j * 2 + 1) * N, n * 2) == r))).drop("_chunk", "_N", "rk")
+    return df.filter((N <= n) | ((j < n) & (idiv((j * 2 + 1) * N, n * 2) == r))).drop("_chunk", "_tot", "rk")
 
 
 def active_blocks(ev: DataFrame, rho: float, sensor: Sensor, keys=("rec", "w"), side=None) -> DataFrame:
@@ -183,5 +183,5 @@ def active_blocks(ev: DataFrame, rho: float, sensor: Sensor, keys=("rec", "w"),
 
 def every_kth(df: DataFrame, keys, order, chunk, most: int) -> DataFrame:
     """Rows 0, k, 2k, .. of each key with k = ceil(n / most): at most `most` rows of evenly spaced rank."""
-    df = ranked(df, keys, order, chunk, "rk", "_n")
-    return df.filter(F.col("rk") % F.ceil(F.col("_n") / most) == 0).drop("_n")
+    df = ranked(df, keys, order, chunk, "rk", "_tot")
+    return df.filter(F.col("rk") % F.ceil(F.col("_tot") / most) == 0).drop("_tot")

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from ..functions import cols as C
 from ..operators import codelen as L
 from ..sensor import DAY, DEMO
-from ..sources.tables import BIN6H, events
+from ..session import cut_lineage
+from ..sources.tables import events
 from .q_ingest import EV, age_sql, r6
 from .registry import query
 
@@ -122,6 +123,7 @@ def resolution_sweep(ev, sensor, resolutions, unit):
     e = e.withColumn("_ck", C.idiv("t_us", DAY))                                  # days nest every resolution used here
     k = ["res", "rec"]
     e = ranked(e, k, ["t", "y", "x", "p", "_s"], "_ck", "seq").select(*k, "seq", "t", "x", "y", "p", C.idiv("seq", CHUNK).alias("chunk"))
+    e = cut_lineage(e)
     t = L.time_bits(e, k).groupBy(*k).agg(F.sum("time_bits").alias("tb"))
     a = L.polarity_bits(L.ratemap_bits(e, k, sensor), k).groupBy(*k).agg(
         F.count(F.lit(1)).alias("n"), F.sum("address_bits").alias("ab"), F.sum("polarity_bits").alias("pb"))
