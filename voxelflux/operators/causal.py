@@ -18,7 +18,7 @@ def clean_groups(ev, ks, hot_min=10, factor=20.0, before=3):
     """Events of the span, the key window and the next one, without the hot pixels of the span."""
     eg = S.group_window_events(ev, ks, before, 1)
     hot = T.hot_pixels(eg.filter("rel <= 0"), GK, hot_min, factor)
-    return T.without_hot(eg, hot, GK)
+    return cut_lineage(T.without_hot(eg, hot, GK))          # read by every later step
 
 
 def candidate_blocks(eg, sensor, n_min):
@@ -48,11 +48,11 @@ def fit_motion(eg: DataFrame, cand: DataFrame, sensor: Sensor, radius: int, rule
                                              F.coalesce("score", z).alias("pairs"))
         d = cut_lineage(d)
         dl = S.best_delay(prev, target, d, GK, delays, fit_k, sensor)
-        return d.join(dl, key, "left").withColumn("delta", F.coalesce("delta", z))
+        return cut_lineage(d.join(dl, key, "left").withColumn("delta", F.coalesce("delta", z)))
     d = cut_lineage(S.near_tie_shift(sc, key).filter(F.col("pairs") >= n_min / 2))
     mv = S.moved_into(prev, d.select(*key, "dx", "dy"), GK, sensor)
     dl = T.onset_delay(mv, target, key, sensor)
-    return d.join(dl, key, "left").withColumn("delta", F.coalesce("delta", z))
+    return cut_lineage(d.join(dl, key, "left").withColumn("delta", F.coalesce("delta", z)))
 
 
 def predict(eg: DataFrame, motion: DataFrame, sensor: Sensor, n_min: int, seed=20261020):
