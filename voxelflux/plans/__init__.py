@@ -1,7 +1,8 @@
 """Query registration by section; importing a module registers its queries."""
 import importlib
 
-MODULES = ("q_ingest", "q_match", "q_trains", "q_boxes", "q_codec", "q_stats", "q_codelen", "q_shift", "q_motion", "q_tasks")
+MODULES = ("q_ingest", "q_match", "q_trains", "q_boxes", "q_codec", "q_stats", "q_codelen", "q_shift", "q_motion", "q_tasks",
+           "q_instants", "q_stream")
 
 
 def load():
