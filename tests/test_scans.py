@@ -38,3 +38,19 @@ def test_exclusive_sum(skewed):
     r = S.running(df.withColumn("c", F.floor(F.col("seq") / 50)), ["k"], ["seq"], "c", "v", F.sum, "s", inclusive=False)
     got = r.toPandas().sort_values("seq").reset_index(drop=True)
     assert (got.s == pdf.groupby("k")["v"].cumsum() - pdf.v).all()
+
+
+def test_exact_quantiles_of_a_hot_group(spark):
+    from voxelflux.operators import stats as St
+    g = np.random.default_rng(2)
+    k = np.where(g.random(4000) < .8, 0, g.integers(1, 30, 4000))
+    v = np.round(np.where(g.random(4000) < .3, 0.0, g.normal(0, 5, 4000)), 2)
+    v[::97] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"k": k, "v": v}))
+    qs = [0.0, .025, .1, .5, .9, 1.0]
+    got = St.exact_quantiles(df, ["k"], "v", qs).toPandas().set_index("k")
+    for key, s in pd.DataFrame({"k": k, "v": v}).dropna().groupby("k").v:
+        assert got.loc[key, "n"] == len(s)
+        assert np.allclose([got.loc[key, f"q{i}"] for i in range(len(qs))], np.quantile(s, qs))
+    m = St.medians(df, ["k"], ["v"]).toPandas().set_index("k").v
+    assert np.allclose(m.sort_index(), pd.DataFrame({"k": k, "v": v}).groupby("k").v.median().sort_index())

@@ -6,6 +6,7 @@ recomputed task draws the same sample.
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cols import idiv, mix, ratio
+from .scans import running
 
 BOOT_SEED, BOOT_N = 20261016, 2000
 
@@ -21,9 +22,49 @@ def strata_levels(rows: DataFrame) -> DataFrame:
     return r.withColumn("speed_level", F.explode(speed)).withColumn("overlap_level", F.explode(over))
 
 
-def per_recording(rows: DataFrame, keys, medians=(), shares=()) -> DataFrame:
-    agg = [F.median(c).alias(c) for c in medians] + [F.avg(c).alias(c) for c in shares]
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *agg)
+def value_chunk(v):
+    """A monotone integer of a number: 64 steps per factor of two, mirrored below zero."""
+    m = F.floor(F.log2(F.abs(v)) * 64) + 131_072
+    return F.when(v > 0, m).when(v < 0, -m).otherwise(F.lit(0).cast("bigint"))
+
+
+def exact_quantiles(rows: DataFrame, keys, value, qs) -> DataFrame:
+    """(keys, n, q0, q1, ..): exact interpolated quantiles of groups of any size.
+
+    A group is never gathered: equal values are counted first, the running count is taken in two phases over value chunks,
+    and each order statistic is the least value whose running count passes its rank - a plain aggregate. NULL and NaN do
+    not enter."""
+    keys = list(keys)
+    v = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    c = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    n = c.groupBy(*keys).agg(F.sum("_c").alias("n"))              # same exchange as the running counts
+    r = running(c.withColumn("_ck", value_chunk(F.col("_v"))), keys, ["_v"], "_ck", "_c", F.sum, "_cum").join(n, keys)
+    at = {}
+    for i, q in enumerate(qs):
+        pos = (F.col("n") - 1) * F.lit(float(q))
+        for e, f in (("l", F.floor), ("h", F.ceil)):
+            at[f"_{e}{i}"] = F.min(F.when(F.col("_cum") > f(pos), F.col("_v")))
+    g = r.groupBy(*keys, "n").agg(*[a.alias(k) for k, a in at.items()])
+    out = []
+    for i, q in enumerate(qs):
+        pos = (F.col("n") - 1) * F.lit(float(q))
+        out.append((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (pos - F.floor(pos))).alias(f"q{i}"))
+    return g.select(*keys, "n", *out)
+
+
+def medians(rows: DataFrame, keys, columns) -> DataFrame:
+    """(keys, columns): the exact median of each column per key, all columns in one pass; NULL without a value."""
+    keys = list(keys)
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
+                       .alias("_e")).select(*keys, F.col("_e.c").alias("_col"), F.col("_e.v").alias("_val"))
+    q = exact_quantiles(long, [*keys, "_col"], "_val", [0.5])
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("_col") == c, F.col("q0"))).alias(c) for c in columns])
+
+
+def per_recording(rows: DataFrame, keys, medians_of=(), shares=()) -> DataFrame:
+    """Row counts, medians and shares per key. A recording may hold most rows, so medians use the distributed form."""
+    a = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(c) for c in shares])
+    return a.join(medians(rows, keys, medians_of), list(keys), "left") if medians_of else a
 
 
 def resamples(per_rec: DataFrame, keys, n_boot=BOOT_N, seed=BOOT_SEED) -> DataFrame:
@@ -80,9 +121,8 @@ def kendall_tau_b(rows: DataFrame, keys, item, a, b) -> DataFrame:
 
 
 def classed_quantiles(rows: DataFrame, keys, value, qs) -> DataFrame:
-    g = rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.percentile(value, F.array(*[F.lit(float(q)) for q in qs])).alias("_q"))
-    return g.select(*keys, "n_rows", *[F.get("_q", F.lit(i)).alias(f"q{int(round(q * 100)):02d}") for i, q in enumerate(qs)])
+    q = exact_quantiles(rows, keys, value, qs)
+    return q.select(*keys, F.col("n").alias("n_rows"), *[F.col(f"q{i}").alias(f"q{int(round(x * 100)):02d}") for i, x in enumerate(qs)])
 
 
 def edges_class(c, edges):
@@ -112,8 +152,8 @@ def reading_lock(lo, hi):
 
 def nearest_to_median(rows: DataFrame, keys, value, ties) -> DataFrame:
     """Row of each key closest to the median of the key; ties by the given columns."""
-    med = rows.groupBy(*keys).agg(F.median(value).alias("_med"))
-    r = rows.join(med, list(keys)) if keys else rows.crossJoin(F.broadcast(med))
+    med = medians(rows, keys, [value]).withColumnRenamed(value, "_med")
+    r = rows.join(med, list(keys))
     best = F.min_by(F.struct(*ties, value), F.struct(F.abs(F.col(value) - F.col("_med")), *ties))
     return r.groupBy(*keys).agg(best.alias("_b"), F.first("_med").alias("median")).select(*keys, "_b.*", "median")
 

@@ -3,7 +3,9 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import cols as C
 from ..operators import boxes as B, trains as Tr, windows as Wn
+from ..operators.stats import exact_quantiles
 from ..sensor import DAY, DEMO
+from ..session import cut_lineage
 from ..sources.ingest import lighting
 from ..sources.tables import BIN6H, events, raw_labels
 from .q_ingest import EV, keys, r6
@@ -268,7 +270,8 @@ def clock_ratio(ev, boxes, sensor, ring):
     n = F.coalesce("c", F.lit(0))
     r = px.groupBy(*key).agg(z(n, 1).alias("ei"), z(n, 0).alias("eo"), z(F.lit(1), 1).alias("ai"), z(F.lit(1), 0).alias("ao"))
     r = r.withColumn("ratio", B.density_ratio(F.col("ei"), F.col("eo"), F.col("ai"), F.col("ao"))).filter("ratio IS NOT NULL")
-    return r.groupBy("conv").agg(F.count(F.lit(1)).alias("n_boxes"), F.median("ratio").alias("med"))
+    q = exact_quantiles(cut_lineage(r), ["conv"], "ratio", [0.5])
+    return q.select("conv", F.col("n").alias("n_boxes"), F.col("q0").alias("med"))
 
 
 J20_SQL = f"""WITH {BOXES}, sh(s) AS (VALUES (-21600000000::BIGINT),(0),(21600000000)), cc(c) AS (VALUES ('corner'),('center')), sp AS

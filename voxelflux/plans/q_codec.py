@@ -1,5 +1,5 @@
 """Coding, subsets, envelopes and codec summaries."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import cols as C
 from ..operators import codec as K, curves as Cv, encode as E, subsets as Sb, voxels as V
@@ -254,9 +254,10 @@ def a26(spark, d):
 def a28(spark, d):
     s = static_summary(spark, d).groupBy("rho").agg(F.count(F.lit(1)).alias("n_recordings"), F.median("J").alias("J"),
                                                     F.median("F").alias("F"), F.median("bits").alias("bits"))
-    best = s.agg(F.max_by("rho", F.struct("J", "rho")).alias("_best"))
-    return s.crossJoin(F.broadcast(best)).select("rho", "n_recordings", r6("J", "J"), r6("F", "F"), r6("bits", "bits"),
-                                                 (F.col("rho") == F.col("_best")).alias("frozen"))
+    # one row per configuration, so one window over all of them is small
+    best = F.max(F.struct("J", "rho")).over(Window.partitionBy())
+    return s.withColumn("_best", best).select("rho", "n_recordings", r6("J", "J"), r6("F", "F"), r6("bits", "bits"),
+                                              (F.col("rho") == F.col("_best.rho")).alias("frozen"))
 
 
 @query("a36_operating_points", f"""WITH {EV}, {SUMMARY} SELECT CASE WHEN rec LIKE 'day%' THEN 'day' ELSE 'night' END AS stratum, rho, count(*) AS

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cols as C
 from ..operators import voxels as V
+from ..operators.stats import exact_quantiles
 from ..sensor import DAY, DEMO
 from ..sources.ingest import lighting
 from ..sources.tables import events
@@ -62,9 +63,10 @@ def j1(spark, d):
 def entry_query(spark, d):
     ev = events(spark, d)
     m = V.scores(V.match(V.repeated(ev), ev, [(2, 3)], DEMO)).filter("n1 > 0 AND n2 > 0")
-    return m.groupBy("rec").agg(
-        F.first(lighting()).alias("lighting"), F.count(F.lit(1)).alias("n_windows"), F.sum("pairs").alias("pairs"),
-        r6(F.sum("pairs") * 2.0 / F.sum(F.col("n1") + F.col("n2")), "f_pooled"), r6(F.median("f1"), "f_median"))
+    g = m.groupBy("rec").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("pairs").alias("pairs"),
+                             r6(F.sum("pairs") * 2.0 / F.sum(F.col("n1") + F.col("n2")), "f_pooled"))
+    q = exact_quantiles(m, ["rec"], "f1", [0.5]).select("rec", r6("q0", "f_median"))
+    return g.join(q, "rec").select("rec", lighting().alias("lighting"), "n_windows", "pairs", "f_pooled", "f_median")
 
 
 @query("j1_moved_match", f"""WITH {EV}, sh(d) AS (SELECT * FROM range(0::BIGINT, 5)), a AS (SELECT rec, w+1 AS w, d, p,

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cols as C
 from ..operators import boxes as B, causal as Ca, codec as K, fits as Ft, flow as Fl, objects as Ob, regions as Rg, shift as S
-from ..operators import trains as Tr, voxels as V
+from ..operators import voxels as V
+from ..operators.stats import medians
 from ..sensor import DAY, DEMO
 from ..session import cut_lineage
 from ..sources.tables import events
@@ -146,11 +147,11 @@ def a34(spark, d):
 
 
 def region_table(f):
-    return f.groupBy("touch").agg(
-        F.count(F.lit(1)).alias("n_blocks"), r6(F.avg(F.col("static").cast("double")), "static_share"), r6(F.median("speed"), "speed"),
-        r6(F.median("both_polarity"), "both_polarity"), r6(F.median("n_key"), "n_key"),
-        r6(F.count("tau") / F.count(F.lit(1)), "share_tau"), r6(F.median("covered"), "covered"),
-        F.round(F.median("tau"), 3).alias("tau"))
+    m = medians(f.withColumn("n_key", F.col("n_key").cast("double")), ["touch"], ["speed", "both_polarity", "n_key", "covered", "tau"])
+    a = f.groupBy("touch").agg(F.count(F.lit(1)).alias("n_blocks"), r6(F.avg(F.col("static").cast("double")), "static_share"),
+                               r6(F.count("tau") / F.count(F.lit(1)), "share_tau"))
+    return a.join(m, "touch").select("touch", "n_blocks", "static_share", *[r6(c, c) for c in ("speed", "both_polarity", "n_key")],
+                                     "share_tau", r6("covered", "covered"), F.round("tau", 3).alias("tau"))
 
 
 # ---- regeneration and aligned motion of labelled objects
@@ -231,8 +232,10 @@ def m5(spark, d):
     pred = Ob.in_support(static.unionByName(const).unionByName(lab).unionByName(uni), ok)
     names = F.explode(F.array(*[F.lit(n) for n in ("static", "constant", "label", "uniform")])).alias("model")
     true = fut.join(ok.select(*Ob.OK), Ob.OK, "left_semi").select("*", names)
-    m = V.scores(V.match(pred, true, [(1, 1), (2, 3), (4, 8)], DEMO, keys=("model", *Ob.OK)))
-    return m.groupBy("model", "rec", "s", "k").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("pairs").alias("pairs"), r6(F.median("f1"), "f1"))
+    m = cut_lineage(V.scores(V.match(pred, true, [(1, 1), (2, 3), (4, 8)], DEMO, keys=("model", *Ob.OK))))
+    k = ["model", "rec", "s", "k"]
+    n = m.groupBy(*k).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("pairs").alias("pairs"))
+    return n.join(medians(m, k, ["f1"]), k).withColumn("f1", r6("f1"))
 
 
 @query("m6_aligned_displacement", f"""WITH {OBJ}, kp AS (SELECT rec, track_id, t_e, x, y, p, least(2, tr*3//86400000000) AS tb, count(*) AS c FROM src GROUP BY ALL),

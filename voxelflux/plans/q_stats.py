@@ -259,7 +259,8 @@ def outcome_classes(rows, keys):
     r = rows.withColumn("cls", c)
     e = F.when(F.col("cls") == "error", F.col("err")).when(F.col("cls") == "failure", F.lit(1e300))
     s = r.groupBy(*keys).agg(F.count_if(F.col("cls") != "undefined").alias("n"), F.count_if(F.col("cls") == "undefined").alias(
-        "n_undefined"), F.count_if(F.col("cls") == "failure").alias("_f"), F.count_if(F.col("err") <= 1).alias("_ok"), F.median(e).alias("_m"))
+        "n_undefined"), F.count_if(F.col("cls") == "failure").alias("_f"), F.count_if(F.col("err") <= 1).alias("_ok"))
+    s = s.join(St.medians(r.withColumn("_m", e), keys, ["_m"]), list(keys), "left")
     fs = C.ratio(F.col("_f").cast("double"), "n")
     return s.select(*keys, "n", "n_undefined", C.ratio(F.col("_ok").cast("double"), "n").alias("success"), fs.alias("fail_share"),
                     F.when(fs < 0.5, F.col("_m")).alias("median_err"))

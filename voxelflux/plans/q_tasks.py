@@ -13,7 +13,7 @@ from .q_boxes import NEAREST, TILE, label_tables
 from .q_codec import RHOS, SHARES, SUBSETS, bits_sql
 from .q_ingest import EV, GROUPS, KEYS, keys, r6
 from .q_motion import FIT, KEYEV, fitted
-from .q_shift import N_MIN, R, groups_of
+from .q_shift import EG, N_MIN, PHASE, R, groups_of, moved_sql
 from .registry import query
 from .sqltext import BOXES
 
@@ -113,6 +113,9 @@ SCHEMES = f"""{GROUPS}, {KEYEV}, {FIT}, {SUBSETS}, tw AS (SELECT gw.rec, gw.g, g
  tr, x, y, p FROM gw JOIN sub USING (rec, w) WHERE m > 0 AND scheme IN ('thin_0.5', 'select_0.5'))"""
 
 
+TASK_SCHEMES = ("static", "translation", "thin_0.5", "select_0.5")
+
+
 def schemes(ev):
     """Rebuilt events of the target windows m = 1..3 for four schemes: rows scheme, rec, g, m, tr, x, y, p."""
     cols = ["scheme", "rec", "g", "m", "tr", "x", "y", "p"]
@@ -144,7 +147,7 @@ def object_rows(spark, d):
     pred, true = schemes(ev)
     bx = B.boxes_nearest(label_tables(spark, d)[0], DEMO).join(groups(keys(ev), 4).filter("m > 0"), ["rec", "w"])
     bx = bx.select("rec", "g", "m", "track_id", "bx", "by", "bw", "bh")
-    return Ob.object_scores(cut_lineage(pred), cut_lineage(true), bx, DEMO, ["rec", "g", "m"], least=3, tile=TILE)
+    return Ob.object_scores(cut_lineage(pred), cut_lineage(true), bx, DEMO, ["rec", "g", "m"], TASK_SCHEMES, least=3, tile=TILE)
 
 
 @query("m21_object_task", f"""WITH {BOXES}, {SCHEMES}, {M21} SELECT scheme, rec, g, m, track_id, n_true, n_rec, CAST(pairs AS BIGINT) AS pairs, round(F,6) AS F,
@@ -226,7 +229,7 @@ def m22(spark, d):
     return motion_task(pred.filter("m = 2"), true.filter("m = 2"), sq)
 
 
-def motion_task(pred, true, sq):
+def motion_task(pred, true, sq, names=TASK_SCHEMES):
     """Velocity error (px per window) of each scheme on the squares of the true window; NULL where a set is empty."""
     k = ["rec", "g", "square"]
     cols = ["scheme", "rec", "g", "tr", "x", "y"]
@@ -235,8 +238,7 @@ def motion_task(pred, true, sq):
     v = cut_lineage(Ft.variance_velocity(e, ["scheme", *k], **CM))
     n = e.groupBy("scheme", *k).agg(F.count(F.lit(1)).alias("n_rec"))
     t = v.filter("scheme = 'true'").select(*k, F.col("vx").alias("tx"), F.col("vy").alias("ty"))
-    names = pred.select("scheme").distinct()
-    every = sq.select(*k).crossJoin(F.broadcast(names))                              # a handful of scheme names
+    every = sq.select(*k, F.explode(F.array(*[F.lit(n) for n in names])).alias("scheme"))
     r = every.join(v, ["scheme", *k], "left").join(t, k, "left").join(n, ["scheme", *k], "left")
     return r.select("scheme", *k, F.coalesce("n_rec", F.lit(0)).alias("n_rec"),
                     r6(F.hypot(F.col("vx") - F.col("tx"), F.col("vy") - F.col("ty")), "error_px"))
@@ -286,9 +288,29 @@ def families(ev):
     return f.select("scheme", "rec", "N", "N2", "M", *[r6(c, c) for c in ("F", "F20", "FH", "Fsnr")])
 
 
-@query("m24_tolerance_ladder")
+CAND = f"""cand AS (SELECT rec, g, block, count(*) AS n_true FROM eg
+ WHERE rel = 1 GROUP BY ALL HAVING count(*) >= {N_MIN})"""
+assert CAND in EG
+CROP = """lat AS (SELECT ix*4 AS x0, iy*4 AS y0 FROM range(0::BIGINT,3) a(ix), range(0::BIGINT,2) b(iy)), cs AS (SELECT rec, g, x0, y0, count(*) AS n FROM eg JOIN lat
+ ON x >= x0 AND x < x0+8 AND y >= y0 AND y < y0+4 WHERE rel = 1 GROUP BY ALL), crop AS (SELECT rec, g, x0, y0 FROM (SELECT *, row_number() OVER (PARTITION BY rec, g
+ ORDER BY n DESC, y0, x0) AS rk FROM cs) WHERE rk = 1), cand AS (SELECT rec, g, b.block FROM crop JOIN range(8) b(block) ON (b.block%4)*4 < x0+8 AND (b.block%4)*4+4 >
+ x0 AND (b.block//4)*4 < y0+4 AND (b.block//4)*4+4 > y0)"""
+LADDER = f"""{EG.replace(CAND, CROP)}, {PHASE.split(', pr0 AS')[0]}, mot2 AS (SELECT cand.rec, cand.g, cand.block, coalesce(dx,0) AS dx, coalesce(dy,0) AS dy,
+ coalesce(delta,0) AS delta FROM cand LEFT JOIN mot USING (rec, g, block)), mo AS (SELECT m.rec, m.g, m.tr, m.x, m.y, m.p FROM {moved_sql(
+    "(SELECT * FROM eg WHERE rel = 0)", 'mot2', 's.delta')} m JOIN crop USING (rec, g) WHERE m.x >= x0 AND m.x < x0+8 AND m.y >= y0 AND m.y < y0+4), tru AS (SELECT
+ eg.rec, eg.g, tr, x, y, p FROM eg JOIN crop USING (rec, g) WHERE rel = 1 AND x >= x0 AND x < x0+8 AND y >= y0 AND y < y0+4), fq AS (SELECT rec, g, x, y, p, min(tr) AS q
+ FROM mo GROUP BY ALL), ft AS (SELECT rec, g, x, y, p, min(tr) AS t FROM tru GROUP BY ALL), off AS (SELECT fq.*, CAST(round_even((t-q)/1350000000.0::DOUBLE,0) AS
+ BIGINT) AS sym FROM fq JOIN ft USING (rec, g, x, y, p)), rc AS (SELECT 'every' AS recon, rec, g, (2*least(255, tr*256//86400000000)+1)*86400000000//512 AS tr, x, y, p
+ FROM tru UNION ALL SELECT 'pixel', mo.rec, mo.g, greatest(0, least(86399999999, tr + sym*1350000000)), mo.x, mo.y, mo.p FROM mo JOIN off USING (rec, g, x, y, p) UNION
+ ALL SELECT 'motion', * FROM mo), rn(recon) AS (VALUES ('every'),('pixel'),('motion')), ks(k) AS (VALUES (3::BIGINT),(32),(256)), al AS (SELECT *, 1 AS a, 0 AS b FROM
+ rc UNION ALL SELECT recon, tru.*, 0, 1 FROM tru, rn), v AS (SELECT recon, rec, g, k, x, y, p, least(k-1, tr*k//86400000000) AS tb, sum(a) AS c1, sum(b) AS c2 FROM al,
+ ks GROUP BY ALL) SELECT recon, rec, g, k, CAST(sum(c1) AS BIGINT) AS n1, CAST(sum(c2) AS BIGINT) AS n2, CAST(sum(least(c1,c2)) AS BIGINT) AS pairs,
+ round(2.0*sum(least(c1,c2))/sum(c1+c2),6) AS f1 FROM v GROUP BY ALL"""
+
+
+@query("m24_tolerance_ladder", f"WITH {EV}, {LADDER}")
 def m24(spark, d):
-    """Three reconstructions of the next window in the densest crop of each group. Rows-only check; see the gate tests."""
+    """Three reconstructions of the next window in the densest crop of each group."""
     eg = groups_of(spark, d)
     return ladder(eg, DEMO, 8, 4, 4, R, N_MIN)
 
