@@ -6,6 +6,7 @@ recomputed task draws the same sample.
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cols import idiv, mix, ratio
+from ..session import cut_lineage
 from .scans import running
 
 BOOT_SEED, BOOT_N = 20261016, 2000
@@ -36,8 +37,8 @@ def exact_quantiles(rows: DataFrame, keys, value, qs) -> DataFrame:
     not enter."""
     keys = list(keys)
     v = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    c = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    n = c.groupBy(*keys).agg(F.sum("_c").alias("n"))              # same exchange as the running counts
+    c = cut_lineage(v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))       # the rows are read once
+    n = c.groupBy(*keys).agg(F.sum("_c").alias("n"))
     r = running(c.withColumn("_ck", value_chunk(F.col("_v"))), keys, ["_v"], "_ck", "_c", F.sum, "_cum").join(n, keys)
     at = {}
     for i, q in enumerate(qs):

@@ -58,11 +58,30 @@ def pair_counts(pred: DataFrame, true: DataFrame, cells, sensor: Sensor, keys=("
         F.sum("_a").alias("c1"), F.sum("_b").alias("c2"))
 
 
+def repeated_pair_counts(ev: DataFrame, cells, sensor: Sensor, lead=1, keys=("rec", "w")) -> DataFrame:
+    """`pair_counts` of every window against the window `lead` before it, from one scan: each event counts once as itself
+    and once as its own repetition."""
+    o = F.explode(F.array(F.struct((F.col("w") + lead).alias("w"), F.lit(1).alias("a"), F.lit(0).alias("b")),
+                          F.struct(F.col("w").alias("w"), F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("_o")
+    rest = [*dict.fromkeys([*(k for k in keys if k != "w"), "tr", "x", "y", "p"])]
+    e = ev.select(*rest, o).select(*rest, "_o.w", F.col("_o.a").alias("_a"), F.col("_o.b").alias("_b"))
+    return on_cells(e, cells, sensor).groupBy(*keys, "s", "k", *VOXEL).agg(F.sum("_a").alias("c1"), F.sum("_b").alias("c2"))
+
+
+def matched(pairs: DataFrame, keys=("rec", "w")) -> DataFrame:
+    """(keys, s, k, n1, n2, pairs) from voxel rows with c1 and c2."""
+    return pairs.groupBy(*keys, "s", "k").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"),
+                                              F.sum(F.least("c1", "c2")).alias("pairs"))
+
+
 def match(pred: DataFrame, true: DataFrame, cells, sensor: Sensor, keys=("rec", "w")) -> DataFrame:
     """(keys, s, k, n1, n2, pairs): sizes and matched events on each grid."""
-    v = pair_counts(pred, true, cells, sensor, keys)
-    return v.groupBy(*keys, "s", "k").agg(F.sum("c1").alias("n1"), F.sum("c2").alias("n2"),
-                                          F.sum(F.least("c1", "c2")).alias("pairs"))
+    return matched(pair_counts(pred, true, cells, sensor, keys), keys)
+
+
+def match_repeated(ev: DataFrame, cells, sensor: Sensor, lead=1) -> DataFrame:
+    """How much of each window the window `lead` before it predicts."""
+    return matched(repeated_pair_counts(ev, cells, sensor, lead))
 
 
 def scores(m: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from ..functions import cols as C
 from ..operators import voxels as V
 from ..operators.stats import exact_quantiles
 from ..sensor import DAY, DEMO
+from ..session import cut_lineage
 from ..sources.ingest import lighting
 from ..sources.tables import events
 from .q_ingest import EV, KEYS, keys, r6
@@ -52,7 +53,7 @@ J1_SQL = f"""WITH {EV}, {CELLS_SQL}, v AS ({vox_sql('ev')}), t AS (SELECT rec, w
  CASE WHEN n2 = 0 THEN 0.0::DOUBLE ELSE round(m/n2, 6) END AS recall FROM mm""")
 def j1(spark, d):
     ev = events(spark, d)
-    m = V.scores(V.match(V.repeated(ev), ev, CELLS, DEMO))
+    m = V.scores(V.match_repeated(ev, CELLS, DEMO))
     return m.withColumns({c: r6(c) for c in ("f1", "precision", "recall")})
 
 
@@ -62,7 +63,7 @@ def j1(spark, d):
  rec""")
 def entry_query(spark, d):
     ev = events(spark, d)
-    m = V.scores(V.match(V.repeated(ev), ev, [(2, 3)], DEMO)).filter("n1 > 0 AND n2 > 0")
+    m = cut_lineage(V.scores(V.match_repeated(ev, [(2, 3)], DEMO)).filter("n1 > 0 AND n2 > 0"))   # one row per window
     g = m.groupBy("rec").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("pairs").alias("pairs"),
                              r6(F.sum("pairs") * 2.0 / F.sum(F.col("n1") + F.col("n2")), "f_pooled"))
     q = exact_quantiles(m, ["rec"], "f1", [0.5]).select("rec", r6("q0", "f_median"))
@@ -196,7 +197,12 @@ def a4g(spark, d):
  AS BIGINT) AS added, count(*) FILTER (c1 = 0 AND c2 > 0) AS added_vox, true AS balanced FROM g GROUP BY rec""")
 def a16(spark, d):
     ev = events(spark, d)
-    return V.count_errors(V.pair_counts(ev, V.repeated(ev, -1), [(2, 3)], DEMO), ["rec"])
+    return V.count_errors(swap(V.repeated_pair_counts(ev, [(2, 3)], DEMO, -1)), ["rec"])
+
+
+def swap(pairs):
+    """The true counts as input and the repeated ones as output."""
+    return pairs.select("rec", F.col("c2").alias("c1"), F.col("c1").alias("c2"))
 
 
 @query("a17_clipped_counts", f"""WITH {EV}, c(cmax) AS (VALUES (1::BIGINT),(2),(15)), v AS (SELECT rec, w, p, y//4 AS by, x//4

@@ -147,6 +147,7 @@ def a34(spark, d):
 
 
 def region_table(f):
+    f = cut_lineage(f)
     m = medians(f.withColumn("n_key", F.col("n_key").cast("double")), ["touch"], ["speed", "both_polarity", "n_key", "covered", "tau"])
     a = f.groupBy("touch").agg(F.count(F.lit(1)).alias("n_blocks"), r6(F.avg(F.col("static").cast("double")), "static_share"),
                                r6(F.count("tau") / F.count(F.lit(1)), "share_tau"))

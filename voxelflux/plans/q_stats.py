@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ..functions import cols as C
 from ..operators import stats as St
 from ..sensor import DAY
+from ..session import cut_lineage
 from ..sources.ingest import lighting
 from ..sources.tables import events
 from .q_ingest import EV, r6
@@ -194,7 +195,7 @@ def decomposition(spark, d):
     from ..operators import voxels as V
     from ..sensor import DEMO
     ev = events(spark, d)
-    m = V.match(V.repeated(ev), ev, [(2, 3)], DEMO).filter("n1 > 0 AND n2 > 0")
+    m = cut_lineage(V.match_repeated(ev, [(2, 3)], DEMO)).filter("n1 > 0 AND n2 > 0")
     lo = F.least("n1", "n2")
     return m.select("rec", "w", "n1", "n2", "pairs", (F.col("pairs") * 2.0 / (F.col("n1") + F.col("n2"))).alias("f1"),
                     (F.col("pairs") / F.col("n1")).alias("precision"), (F.col("pairs") / F.col("n2")).alias("recall"),
