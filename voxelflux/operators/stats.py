@@ -24,8 +24,8 @@ def strata_levels(rows: DataFrame) -> DataFrame:
 
 
 def value_chunk(v):
-    """A monotone integer of a number: 64 steps per factor of two, mirrored below zero."""
-    m = F.floor(F.log2(F.abs(v)) * 64) + 131_072
+    """A monotone integer of a number: 8 steps per factor of two, mirrored below zero."""
+    m = F.floor(F.log2(F.abs(v)) * 8) + 16_384
     return F.when(v > 0, m).when(v < 0, -m).otherwise(F.lit(0).cast("bigint"))
 
 
