@@ -1,4 +1,5 @@
 """Registered queries of the subpackage: each applies one operator, with production parameters, to its whole table."""
+from .simhash import near_duplicates
 from .substrings import repeated_bytes
 from .textops import table
 
@@ -17,3 +18,8 @@ def query(name, oracle=None):
 @query("op2_suffix_dedup")
 def op2_suffix_dedup(spark, sf_dir):
     return repeated_bytes(table(spark, sf_dir, "documents"), length=400)
+
+
+@query("op3_simhash")
+def op3_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), bits=3, shingle=3)
