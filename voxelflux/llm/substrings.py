@@ -154,16 +154,23 @@ def _finer(length, cell):
 def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One radix pass: the rows whose windows are all repeated, and one row for each class that the next pass must split.
     A class with a weight over 1 is repeated already and goes on only to be met by others."""
-    classes = rows.groupBy("c1", "c2", "h1", "h2").agg(
+    live = _shared(rows)
+    classes = live.groupBy("c1", "c2", "h1", "h2").agg(
         F.sum("weight").alias("n"), F.min(F.struct("d", "h", "lo", "hi", "pivot")).alias("rep"))
-    cores = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_classes"), F.max("n").alias("most"))
-    cores = cores.where("n_classes > 1 or most > 1")
-    live = classes.join(cores, ["c1", "c2"])
-    again = rows.where("weight = 1").join(live.where("n > 1").select("c1", "c2", "h1", "h2"), ["c1", "c2", "h1", "h2"], "left_semi")
-    split = live.where("n_classes > 1").select("rep.*", F.col("n").alias("weight"))
+    again = live.where("weight = 1").join(classes.where("n > 1").select("c1", "c2", "h1", "h2"), ["c1", "c2", "h1", "h2"], "left_semi")
+    mixed = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
+    split = classes.join(mixed, ["c1", "c2"], "left_semi").select("rep.*", F.col("n").alias("weight"))
     return again.select(*KEY, "lo", "hi"), split
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose core occurs twice or more; the others drop out. Only cores and counts meet in the aggregation."""
+    cores = rows.groupBy("c1", "c2").agg(F.sum("weight").alias("n")).where("n > 1").select("c1", "c2")
+    live = stored(rows.join(cores, ["c1", "c2"], "left_semi"))
+    forget(rows)
+    return live
+
+
 def _cut(length):
     """Join the removed ranges of each document, drop their bytes and report."""
     def run(batches):
@@ -199,14 +206,12 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
         raise ValueError(f"length must be {GRAM + CELL} or more")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h")]
     docs = docs.select(*key, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(docs.select("d", "h", "text").mapInArrow(_first_pass(length), ROW))
-    found, split = _ranked(rows)
-    found, split = stored(found), split.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "pivot", "weight")).alias("open"))
+    found, split = _ranked(stored(docs.select("d", "h", "text").mapInArrow(_first_pass(length), ROW)))
+    split = split.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi", "pivot", "weight")).alias("open"))
     bodies = stored(docs.select("d", "h", "text").join(split, list(KEY)).mapInArrow(_bodies(length), TEXTS))
-    forget(rows)
-    cells = stored(bodies.mapInArrow(_finer(length, CELL), ROW))
-    more, split = _ranked(cells)
+    more, split = _ranked(stored(bodies.mapInArrow(_finer(length, CELL), ROW)))
     want = split.groupBy(*KEY, "pivot").agg(F.collect_list(F.struct("lo", "hi", "weight")).alias("want"))
-    last, _ = _ranked(stored(bodies.drop("weight").join(want, [*KEY, "pivot"]).mapInArrow(_finer(length, 1), ROW)))
+    last = _shared(stored(bodies.drop("weight").join(want, [*KEY, "pivot"]).mapInArrow(_finer(length, 1), ROW)))
+    last = last.where("weight = 1").select(*KEY, "lo", "hi")
     spans = found.unionByName(more).unionByName(last).groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return docs.join(spans, list(KEY), "left").select("doc_id", "text", "spans").mapInArrow(_cut(length), RESULT)

@@ -1,4 +1,5 @@
 """Shared helpers: reading tables, tables in the shared folder, Arrow batches as byte chunks, vectorised word hashes."""
+import gc
 import tempfile
 import uuid
 
@@ -27,10 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write `df` once into the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_folder(df.sparkSession)
+    """Write `df` once into the shared folder and read it back: cuts lineage and survives lost executors. Shuffle files of
+    finished writes go when the driver collects its garbage; that is asked for here, so disks don't fill up with them."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(*frames: DataFrame) -> None:
