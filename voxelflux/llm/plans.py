@@ -1,4 +1,6 @@
 """Registered queries of the subpackage: each applies one operator, with production parameters, to its whole table."""
+from .quality_rules import QUALITY_SQL, cascade
+from .secrets import secrets
 from .simhash import near_duplicates
 from .substrings import repeated_bytes
 from .textops import table
@@ -23,3 +25,13 @@ def op2_suffix_dedup(spark, sf_dir):
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), bits=3, shingle=3)
+
+
+@query("op6_quality_cascade", QUALITY_SQL)
+def op6_quality_cascade(spark, sf_dir):
+    return cascade(table(spark, sf_dir, "documents")).drop("rules_run")
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark, sf_dir):
+    return secrets(table(spark, sf_dir, "documents"))
