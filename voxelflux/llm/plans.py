@@ -1,9 +1,10 @@
 """Registered queries of the subpackage: each applies one operator, with production parameters, to its whole table."""
+from . import language
 from .quality_rules import QUALITY_SQL, cascade
 from .secrets import secrets
 from .simhash import near_duplicates
 from .substrings import repeated_bytes
-from .textops import table
+from .textops import held_out, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,3 +36,9 @@ def op6_quality_cascade(spark, sf_dir):
 @query("op7_secret_scan")
 def op7_secret_scan(spark, sf_dir):
     return secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs.where(~held_out("doc_id")), per_class=500))
