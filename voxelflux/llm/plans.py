@@ -1,5 +1,5 @@
 """Registered queries of the subpackage: each applies one operator, with production parameters, to its whole table."""
-from . import language
+from . import factorisation, language
 from .quality_rules import QUALITY_SQL, cascade
 from .secrets import secrets
 from .simhash import near_duplicates
@@ -42,3 +42,9 @@ def op7_secret_scan(spark, sf_dir):
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs.where(~held_out("doc_id")), per_class=500))
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return factorisation.score(docs, factorisation.fit(docs, labels.where(~held_out("doc_id")), per_class=1500), cut=0.7)
