@@ -1,10 +1,12 @@
 """Registered queries of the subpackage: each applies one operator, with production parameters, to its whole table."""
 from . import factorisation, language
+from .decontaminate import contaminated
 from .quality_rules import QUALITY_SQL, cascade
 from .secrets import secrets
 from .simhash import near_duplicates
 from .substrings import repeated_bytes
 from .textops import held_out, table
+from .units import UNITS_SQL, repeated_units
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,3 +50,13 @@ def op4_language_id(spark, sf_dir):
 def op8_quality_classifier(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return factorisation.score(docs, factorisation.fit(docs, labels.where(~held_out("doc_id")), per_class=1500), cut=0.7)
+
+
+@query("op9_line_dedup", UNITS_SQL)
+def op9_line_dedup(spark, sf_dir):
+    return repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=15).drop("h")
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.6)
