@@ -90,7 +90,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 def _scored(threshold: float):
     def run(batches):
         for batch in batches:
-            doc, item, score, begin, finish = [], [], [], [], []
+            doc, key, item, score, begin, finish = [], [], [], [], [], []
             for r in range(batch.num_rows):
                 get = lambda c: batch.column(c)[r].values
                 a, b = np.asarray(get("item")), np.asarray(get("words"))
@@ -99,18 +99,20 @@ def _scored(threshold: float):
                     continue
                 _, back = align(a[::-1], b[:end][::-1])
                 doc.append(batch.column("doc_id")[r].as_py())
+                key.append(batch.column("h")[r].as_py())
                 item.append(batch.column("item_id")[r].as_py())
                 score.append(top / (MATCH * len(a)))
                 begin.append(get("begin")[end - back].as_py())
                 finish.append(get("finish")[end - 1].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(begin, pa.int32()),
-                                              pa.array(finish, pa.int32())], names=["doc_id", "item_id", "score", "begin", "finish"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(begin, pa.int32()),
+                                              pa.array(finish, pa.int32())], names=["doc_id", "h", "item_id", "score", "begin", "finish"])
     return run
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6) -> DataFrame:
     """One row per pair of a document of `docs` (doc_id, text) and an item of `items` (item_id, text) that it holds: doc_id, item_id, score (best alignment score
-    over that of the item with itself, at least `threshold`), begin_byte and end_byte of the best passage (the first of equals).
+    over that of the item with itself, at least `threshold`), begin_byte and end_byte of the best passage (the first of equals),
+    and h, a hash of id and text (texts with one doc_id are documents of their own).
 
     Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. Null and empty texts match nothing, as do items of fewer than 4 words;
     rows that repeat give one row; a null doc_id or item_id stays null and is one document or item; other columns are ignored; empty tables give no row.
@@ -130,7 +132,14 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6) -> D
     ranked = grams.join(often, "g").select("i", "pos", "g", F.min(F.struct("n", "pos", "g")).over(ahead).alias("seed"))
     seeds = ranked.select("i", F.col("seed.g").alias("g")).distinct()
     pairs = hits.join(seeds, "g").select("d", "h", "first", "i").distinct()
-    rows = pairs.join(passages, ["d", "h", "first"]).join(items, "i").select("doc_id", "item_id", "item", "words", "begin", "finish")
-    found = rows.mapInArrow(_scored(threshold), "doc_id long, item_id long, score double, begin int, finish int")
-    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct(-F.col("score"), "begin", "finish")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.col1")).alias("score"), F.col("b.begin").alias("begin_byte"), F.col("b.finish").alias("end_byte"))
+    rows = pairs.join(passages, ["d", "h", "first"]).join(items, "i").select("doc_id", "h", "item_id", "item", "words", "begin", "finish")
+    found = rows.mapInArrow(_scored(threshold), "doc_id long, h long, item_id long, score double, begin int, finish int")
+    best = found.groupBy("doc_id", "h", "item_id").agg(F.min(F.struct(-F.col("score"), "begin", "finish")).alias("b"))
+    return best.select("doc_id", "item_id", (-F.col("b.col1")).alias("score"), F.col("b.begin").alias("begin_byte"), F.col("b.finish").alias("end_byte"), "h")
+
+
+def without_items(docs: DataFrame, items: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """The rows of `docs` that hold no item of `items`, with all their columns."""
+    found = contaminated(docs, items, threshold).select(F.col("h").alias("_h")).distinct()
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_h"))
+    return keyed.join(found, "_h", "left_anti").select("_row.*")

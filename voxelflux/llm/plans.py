@@ -1,11 +1,12 @@
 """Registered queries of the subpackage: each applies one operator, with production parameters, to its whole table."""
-from . import factorisation, language
+from . import factorisation, language, token_counts
 from .decontaminate import contaminated
+from .mixing import mixed
 from .quality_rules import QUALITY_SQL, cascade
 from .secrets import secrets
 from .simhash import near_duplicates
 from .substrings import repeated_bytes
-from .textops import held_out, table
+from .textops import held_out, shared_folder, stored, table
 from .units import UNITS_SQL, repeated_units
 
 QUERIES, ORACLES = {}, {}
@@ -59,4 +60,23 @@ def op9_line_dedup(spark, sf_dir):
 
 @query("op10_decontamination")
 def op10_decontamination(spark, sf_dir):
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.6)
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.6).drop("h")
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark, sf_dir):
+    """A ledger with three batches: documents come in with provisional counts, exact counts revise them (committed twice, as after a lost
+    reply), and documents without a token are deleted."""
+    counts = stored(token_counts.counted(table(spark, sf_dir, "documents")))
+    ledger = token_counts.Ledger(spark, shared_folder(spark))
+    early, empty = token_counts.provisional(counts), counts.where("n_tokens = 0")
+    ledger.commit("ingest", token_counts.deltas(inserted=early))
+    for _ in range(2):
+        ledger.commit("exact-counts", token_counts.deltas(revised=(early, counts)))
+    ledger.commit("withdrawn", token_counts.deltas(deleted=empty))
+    return ledger.totals()
+
+
+@query("op5_mixing")
+def op5_mixing(spark, sf_dir):
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -15,7 +15,7 @@ square of a group. Components come from `components`.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import components
 from .textops import stored
@@ -157,12 +157,20 @@ def fingerprint(raw: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of `docs`; fp is a signed 64-bit number."""
+    """(doc_id, h, fp): one row per row of `docs`; h is a hash of id and text, fp a signed 64-bit number."""
     def run(batches):
         for batch in batches:
             fp = np.array([fingerprint(t or b"", shingle) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
+    key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(key.alias("doc_id"), F.xxhash64(key, text).alias("h"), text.alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
+
+
+def _rooted(rows: DataFrame, bits: int) -> DataFrame:
+    """(fp, root) for each distinct fingerprint of `rows`."""
+    fps = rows.select("fp").distinct()
+    roots = components(links(fps, bits))
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
@@ -173,9 +181,18 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFra
     component's least non-null id (null if none); other columns are ignored; an empty table gives no row.
     """
     docs = stored(fingerprints(docs, shingle))
-    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(fps, bits))
-    grouped = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(named, "root").select("fp", "component_id")
+    rooted = _rooted(docs, bits).join(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(named, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: one of each component, that with the least doc_id (null after all others; of one id's
+    texts the one with the least hash; of rows that repeat any)."""
+    rows = stored(fingerprints(docs, shingle))
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
+    stay = best.join(_rooted(rows, bits), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.h").alias("_h"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_h"))
+    kept = keyed.join(stay, "_h", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy("_h")))
+    return kept.where("_n = 1").select("_row.*")
