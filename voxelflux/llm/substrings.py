@@ -132,6 +132,8 @@ def _finer(length, cell):
                 body, base, pivot = r["body"], r["lo"], r["pivot"]
                 for w in r.get("want") or (r,):
                     lo0, hi, weight = w["lo"], w["hi"], w["weight"]
+                    if not base <= lo0 <= hi <= r["hi"]:           # a run of the other piece of a text in pieces
+                        continue
                     while hi >= lo0:
                         far = (pivot - hi) // cell                  # distances before the pivot: cell * far and on
                         lo = max(lo0, pivot - cell * far - cell + 1)
