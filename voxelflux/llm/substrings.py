@@ -155,21 +155,23 @@ def _finer(length, cell):
 
 def _ranked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One radix pass: the rows whose windows are all repeated, and one row for each class that the next pass must split.
-    A class with a weight over 1 is repeated already and goes on only to be met by others."""
+    A class with a weight over 1 is repeated already and goes on only to be met by others. Keys that rows are joined with are stored first: a join
+    of two tables, unlike one with an aggregate, can be split at a hot key."""
     live = _shared(rows)
     classes = live.groupBy("c1", "c2", "h1", "h2").agg(
         F.sum("weight").alias("n"), F.min(F.struct("d", "h", "lo", "hi", "pivot")).alias("rep"))
+    classes = stored(classes)
     again = live.where("weight = 1").join(classes.where("n > 1").select("c1", "c2", "h1", "h2"), ["c1", "c2", "h1", "h2"], "left_semi")
-    mixed = classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
+    mixed = stored(classes.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1").select("c1", "c2"))
     split = classes.join(mixed, ["c1", "c2"], "left_semi").select("rep.*", F.col("n").alias("weight"))
     return again.select(*KEY, "lo", "hi"), split
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows whose core occurs twice or more; the others drop out. Only cores and counts meet in the aggregation."""
-    cores = rows.groupBy("c1", "c2").agg(F.sum("weight").alias("n")).where("n > 1").select("c1", "c2")
+    cores = stored(rows.groupBy("c1", "c2").agg(F.sum("weight").alias("n")).where("n > 1").select("c1", "c2"))
     live = stored(rows.join(cores, ["c1", "c2"], "left_semi"))
-    forget(rows)
+    forget(rows, cores)
     return live
 
 

@@ -55,6 +55,7 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 15) ->
     docs = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(-2 ** 63)).alias("d"), F.xxhash64(key, text).alias("h"), text.alias("text"))
     units = stored(docs.mapInArrow(_units(unit, max(1, min_words)), UNIT))
     seen = units.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "h", "unit_no", "doc_id")).alias("keep")).where("copies > 1")
+    seen = stored(seen)                                          # a join of two tables, unlike one with an aggregate, can be split at a hot key
     out = units.join(seen, ["h1", "h2"]).where("d != keep.d or h != keep.h or unit_no != keep.unit_no")
     return out.select("doc_id", "unit_no", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit_no").alias("keep_unit_no"), "copies", "h")
 
