@@ -85,8 +85,7 @@ def geometric_edges(lo, hi, n):
     return [lo * (hi / lo) ** (i / (n - 1)) for i in range(n)]
 
 
-# 29 log-spaced edges 1/128 .. 128 with 0 below; bins 0..29 by ratio, 30 for "no value". Powers of two with half steps
-# are written by the rule 2^((i - 14) / 2).
+# fixed values: 29 log-spaced edges 1/128 .. 128 with 0 below; bins 0..29 by ratio, 30 for "no value"
 RATIO_EDGES = [0.0] + [2.0 ** ((i - 14) / 2.0) for i in range(29)]
 
 

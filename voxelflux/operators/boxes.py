@@ -200,15 +200,6 @@ def box_pixels(boxes: DataFrame, sensor: Sensor, margin=0.0, keys=("rec", "w"),
         *keys, "x", "y").distinct()
 
 
-def boxes_of_class(boxes: DataFrame, life: DataFrame, classes=None, min_life=None) -> DataFrame:
-    k = life
-    if min_life is not None:
-        k = k.filter(F.col("t_last") - F.col("t_first") >= min_life)
-    if classes is not None:
-        k = k.filter(F.col("class_id").isin(*classes))
-    return boxes.join(k.select("rec", "track_id"), ["rec", "track_id"], "left_semi")
-
-
 def events_in_rects(ev: DataFrame, boxes: DataFrame, keys=("rec", "w"), tile=64, sensor: Sensor = None) -> DataFrame:
     """Pairs (event, box) with half-open bounds; boxes carry bx, by, bw, bh and an id column set."""
     ntx, nty = -(-sensor.width // tile), -(-sensor.height // tile)

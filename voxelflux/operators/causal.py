@@ -10,6 +10,7 @@ from . import shift as S, trains as T
 from .voxels import VOXEL, on_cells
 
 GK = ["rec", "g"]
+# fixed values: (pixel side, time bins) of the scored grids
 GRIDS = tuple((1, k) for k in (1, 3, 6, 12, 32, 64, 128, 256)) + tuple((2, k) for k in (1, 3, 6, 12, 32, 64))
 TAU_EDGES = geometric_edges(125.0, 32000.0, 9)
 

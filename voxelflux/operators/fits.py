@@ -36,13 +36,14 @@ def block_maps(key: DataFrame, ev: DataFrame, ks: DataFrame, sensor: Sensor, K:
                         z.alias("ic"), z.alias("id"))
 
 
-def coordinate_search(src: DataFrame, tru: DataFrame, start: DataFrame, keys, true_keys, sensor: Sensor, cell=(2, 3), rounds=2,
+def coordinate_search(src: DataFrame, tru: DataFrame, start: DataFrame, keys, true_keys, sensor: Sensor, cell=(2, 3), rounds=None,
                       offsets=OFFSETS) -> DataFrame:
     """Improve maps `start` (keys, PARAMS, cx, cy, hx, hy, x0, x1, y0, y1) by steps along MOVES.
 
     `src` has the keys, tr, x, y, p; `tru` has `true_keys` (a subset of the keys), tr, x, y, p and is restricted by the caller.
     A round scores every candidate of every key at once and takes the best; a candidate must beat the current map, ties go
-    to the earlier candidate. The score is F1 within the bounds."""
+    to the earlier candidate. The score is F1 within the bounds. Rounds end when no key moves any more (a score only grows, so they do),
+    or after `rounds`."""
     keys, true_keys = list(keys), list(true_keys)
     s, k = cell
     vox = {"tb": time_bin("tr", k, sensor.t0), "by": F.floor(F.col("y") / s), "bx": F.floor(F.col("x") / s)}
@@ -54,8 +55,8 @@ def coordinate_search(src: DataFrame, tru: DataFrame, start: DataFrame, keys, tr
     steps = [(0,) * 6] + [tuple(v * o for v in mv) for mv in MOVES for o in offsets]
     cand = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(v).alias("d" + n) for n, v in zip(PARAMS, st)])
                                for i, st in enumerate(steps)])).alias("_s")
-    cur = start
-    for _ in range(rounds):
+    cur, left = start, rounds
+    while left is None or left > 0:
         c = cur.select("*", cand)
         c = c.withColumns({n: F.col(n) + F.col(f"_s.d{n}") for n in PARAMS}).withColumn("_i", F.col("_s.i")).drop("_s")
         j = pix.join(c, keys)
@@ -73,8 +74,12 @@ def coordinate_search(src: DataFrame, tru: DataFrame, start: DataFrame, keys, tr
         cur = cur.join(best, keys, "left").select(
             *keep, *[(F.col(n) + F.get(row, F.lit(i))).cast("bigint").alias(n) for i, n in enumerate(PARAMS)],
             F.coalesce("_b.f1", F.lit(0.0)).alias("f1"), F.coalesce("_b.pairs", F.lit(0)).alias("pairs"),
-            F.coalesce("_b.np", F.lit(0)).alias("np"))
+            F.coalesce("_b.np", F.lit(0)).alias("np"), (F.coalesce(F.col("_b._i"), F.lit(0)) > 0).alias("_moved"))
         cur = cut_lineage(cur)
+        moved, cur = cur.filter("_moved").limit(1).count(), cur.drop("_moved")
+        if not moved:
+            break
+        left = None if left is None else left - 1
     return cur
 
 
@@ -115,32 +120,42 @@ def variance_velocity(ev: DataFrame, keys, vmax=0.6, coarse=0.1, fine=0.02, marg
                                   F.greatest("var", "fv").alias("var"))
 
 
-def sharpness_velocity(ev: DataFrame, keys, init: DataFrame, tick=1e-6, floor=30.0, stages=5) -> DataFrame:
-    """Velocity (px/s) that maximises template sharpness: five staged candidate grids around the best so far.
+#: Stages of the velocity search: candidates on either side of the best so far, and their spacing as a share of the start's uncertainty.
+HALVING = ((4, 1 / 4), (2, 1 / 8), (2, 1 / 16), (2, 1 / 32), (2, 1 / 64))
 
-    Rows: keys, x, y, p, dt (ticks since the reference). `init` holds keys, vx, vy. The site of a stage is its displacement
-    step over the span of the events, never below 1 px; ties go to the candidate nearest the current best."""
+
+def candidate_velocities(best: DataFrame, keys, side: int, spacing) -> DataFrame:
+    """(keys, vx, vy, d2, i, j): a square of (2 side + 1)^2 velocities around each key's best; d2, i, j order ties from the centre outwards."""
+    ij = F.sequence(F.lit(-side), F.lit(side))
+    c = best.withColumn("i", F.explode(ij)).withColumn("j", F.explode(ij))
+    return c.select(*keys, *[c for c in best.columns if c not in (*keys, "vx", "vy")], (F.col("vx") + F.col("i") * spacing).alias("vx"),
+                    (F.col("vy") + F.col("j") * spacing).alias("vy"), (F.col("i") * F.col("i") + F.col("j") * F.col("j")).alias("d2"), "i", "j")
+
+
+def velocity_sharpness(ev: DataFrame, cand: DataFrame, keys, tick) -> DataFrame:
+    """Sharpness of each candidate (rows of `cand` with a site size `site`): mean number of events at the site of an event, per polarity, after each
+    event went back along the velocity."""
+    at = lambda c, v: F.rint((F.col(c) - F.col(v) * F.col("dt") * F.lit(tick)) / F.col("site"))
+    e = ev.join(cand, list(keys)).groupBy(*keys, "vx", "vy", "d2", "i", "j", "p", at("x", "vx").alias("_a"), at("y", "vy").alias("_b")).agg(
+        F.count(F.lit(1)).alias("c"))
+    return e.groupBy(*keys, "vx", "vy", "d2", "i", "j").agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("score"))
+
+
+def sharpness_velocity(ev: DataFrame, keys, init: DataFrame, tick=1e-6, floor=30.0, schedule=HALVING) -> DataFrame:
+    """Velocity (px/s) that maximises template sharpness, by stages of scored candidate rows.
+
+    Rows: keys, x, y, p, dt (ticks since the reference). `init` holds keys, vx, vy. The start is uncertain by half its speed, `floor` at least. A site
+    is as wide as the spacing moves events over their time span, one pixel at least; equal scores go to the candidate nearest the centre."""
     keys = list(keys)
     ev = cut_lineage(ev)
-    span = ev.groupBy(*keys).agg(F.greatest(F.lit(1e-6), (F.max("dt") - F.min("dt")) * F.lit(tick)).alias("_span"))
-    half = F.greatest(F.lit(float(floor)), F.hypot("vx", "vy") * 0.5)
-    cur = cut_lineage(init.join(span, keys).withColumn("_step", half / 4.0))
-    reach = 4
-    for _ in range(stages):
-        offs = sorted(((i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)),
-                      key=lambda ij: (ij[0] ** 2 + ij[1] ** 2, ij))
-        c = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(float(i)).alias("i"), F.lit(float(j)).alias("j"))
-                                for n, (i, j) in enumerate(offs)])).alias("_c")
-        e = ev.join(cur.select(*keys, "_step", "_span", (F.col("vx")).alias("_vx"), F.col("vy").alias("_vy"), c), keys)
-        cell = F.greatest(F.lit(1.0), F.col("_step") * F.col("_span"))
-        ux, uy = F.col("_vx") + F.col("_c.i") * F.col("_step"), F.col("_vy") + F.col("_c.j") * F.col("_step")
-        t = F.col("dt") * F.lit(tick)
-        s = e.groupBy(*keys, "_c.n", ux.alias("ux"), uy.alias("uy"), F.rint((F.col("x") - ux * t) / cell).alias("sx"),
-                      F.rint((F.col("y") - uy * t) / cell).alias("sy"), "p").agg(F.count(F.lit(1)).alias("c"))
-        s = s.groupBy(*keys, "n", "ux", "uy").agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("score"))
-        b = s.groupBy(*keys).agg(F.max_by(F.struct("ux", "uy", "score"), F.struct(F.round("score", 9), -F.col("n"))).alias("_b"))
-        cur = cur.select(*keys, "_span", "_step").join(b, keys).select(
-            *keys, "_span", (F.col("_step") / 2.0).alias("_step"), F.col("_b.ux").alias("vx"), F.col("_b.uy").alias("vy"))
-        cur = cut_lineage(cur)
-        reach = 2
-    return cur.select(*keys, "vx", "vy")
+    span = ev.groupBy(*keys).agg(((F.max("dt") - F.min("dt")) * F.lit(tick)).alias("_span"))
+    best = init.join(span, keys).withColumn("_unsure", F.greatest(F.lit(float(floor)), F.hypot("vx", "vy") * 0.5))
+    for side, share in schedule:
+        best = cut_lineage(best)
+        spacing = F.col("_unsure") * share
+        site = F.greatest(F.lit(1.0), spacing * F.greatest("_span", F.lit(1e-6)))
+        cand = candidate_velocities(best.withColumn("site", site), keys, side, spacing).drop("_span", "_unsure")
+        rank = F.struct(-F.round("score", 9), "d2", "i", "j")
+        top = velocity_sharpness(ev, cand, keys, tick).groupBy(*keys).agg(F.min_by(F.struct("vx", "vy"), rank).alias("_v"))
+        best = best.drop("vx", "vy").join(top, keys).select(*keys, "_span", "_unsure", "_v.vx", "_v.vy")
+    return cut_lineage(best.select(*keys, "vx", "vy"))

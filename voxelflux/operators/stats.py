@@ -23,23 +23,23 @@ def strata_levels(rows: DataFrame) -> DataFrame:
     return r.withColumn("speed_level", F.explode(speed)).withColumn("overlap_level", F.explode(over))
 
 
-def value_chunk(v):
-    """A monotone integer of a number: 8 steps per factor of two, mirrored below zero."""
-    m = F.floor(F.log2(F.abs(v)) * 8) + 16_384
-    return F.when(v > 0, m).when(v < 0, -m).otherwise(F.lit(0).cast("bigint"))
+SPLITS = 64
 
 
 def exact_quantiles(rows: DataFrame, keys, value, qs) -> DataFrame:
     """(keys, n, q0, q1, ..): exact interpolated quantiles of groups of any size.
 
     A group is never gathered: equal values are counted first, the running count is taken in two phases over value chunks,
-    and each order statistic is the least value whose running count passes its rank - a plain aggregate. NULL and NaN do
-    not enter."""
+    and each order statistic is the least value whose running count passes its rank - a plain aggregate. Chunks end at
+    approximate percentiles of the group's own distinct values, so they are even however narrow its range is. NULL and NaN do not
+    enter; infinities are values like others."""
     keys = list(keys)
     v = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     c = cut_lineage(v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))       # the rows are read once
-    n = c.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    r = running(c.withColumn("_ck", value_chunk(F.col("_v"))), keys, ["_v"], "_ck", "_c", F.sum, "_cum").join(n, keys)
+    cuts = F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 10 * SPLITS)
+    n = c.groupBy(*keys).agg(F.sum("_c").alias("n"), cuts.alias("_cuts"))
+    chunked = c.join(n, keys).withColumn("_ck", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    r = running(chunked, [*keys, "n"], ["_v"], "_ck", "_c", F.sum, "_cum")
     at = {}
     for i, q in enumerate(qs):
         pos = (F.col("n") - 1) * F.lit(float(q))
@@ -49,7 +49,9 @@ def exact_quantiles(rows: DataFrame, keys, value, qs) -> DataFrame:
     out = []
     for i, q in enumerate(qs):
         pos = (F.col("n") - 1) * F.lit(float(q))
-        out.append((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (pos - F.floor(pos))).alias(f"q{i}"))
+        lo, hi = F.col(f"_l{i}"), F.col(f"_h{i}")
+        between = F.when((lo == hi) | (pos == F.floor(pos)), lo).otherwise(lo + (hi - lo) * (pos - F.floor(pos)))
+        out.append(between.alias(f"q{i}"))
     return g.select(*keys, "n", *out)
 
 

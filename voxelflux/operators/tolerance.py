@@ -32,9 +32,7 @@ def pixel_offsets(pred: DataFrame, true: DataFrame, sensor: Sensor, keys=GK) ->
         true.select(*px, F.lit(None).cast("bigint").alias("q"), F.col("tr").alias("t")))
     f = both.groupBy(*px).agg(F.min("q").alias("q"), F.min("t").alias("t")).filter("q IS NOT NULL")
     step = sensor.t0 // 64
-    return f.select(*px, F.greatest(F.lit(-32767), F.when(F.col("t").isNotNull(), F.least(
-        F.lit(32767), F.rint((F.col("t") - F.col("q")) / F.lit(float(step)))))).cast("bigint").alias("_s"),
-        F.col("t").isNull().alias("deleted")).select(*px, F.when(~F.col("deleted"), F.col("_s")).alias("sym"), "deleted")
+    return f.select(*px, F.rint((F.col("t") - F.col("q")) / F.lit(float(step))).cast("bigint").alias("_s"), F.col("t").isNull().alias("deleted")).select(*px, F.when(~F.col("deleted"), F.col("_s")).alias("sym"), "deleted")
 
 
 def apply_offsets(pred: DataFrame, offsets: DataFrame, sensor: Sensor, keys=GK) -> DataFrame:

@@ -107,17 +107,24 @@ def lonely(ev: DataFrame, keys, sensor: Sensor, tau: int) -> DataFrame:
 
 
 def poisson_upper(phi, alpha=1e-3):
-    """Smallest k with P(X > k) <= alpha for X ~ Poisson(phi)."""
-    top = F.ceil(F.col(phi) + F.sqrt(phi) * 12 + 30).cast("int")
-    zero = F.struct(F.exp(-F.col(phi)).alias("pmf"), F.lit(0.0).alias("cdf"), F.lit(-1).alias("k"))
+    """Smallest k with P(X > k) <= alpha for X ~ Poisson(phi).
 
-    def step(a, i):
-        pmf = F.when(i == 0, a.pmf).otherwise(a.pmf * F.col(phi) / i)
-        cdf = a.cdf + pmf
-        return F.struct(pmf.alias("pmf"), cdf.alias("cdf"),
-                        F.when((a.k < 0) & (1.0 - cdf <= alpha), i).otherwise(a.k).alias("k"))
+    Weights relative to the least k that matters (12 deviations and 30 below phi) grow by phi / k, so none of them can vanish or overflow whatever
+    phi is; dividing by their sum gives probabilities."""
+    phi = F.col(phi) if isinstance(phi, str) else phi
+    reach = F.sqrt(phi) * 12 + 30
+    first = F.greatest(F.floor(phi - reach), F.lit(0)).cast("int")
+    ks = F.sequence(first, F.ceil(phi + reach).cast("int"))
+    weight = lambda a, k: F.when(k == first, F.lit(1.0)).otherwise(a.w * phi / k)               # noqa: E731
+    total = F.aggregate(ks, F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("sum")),
+                        lambda a, k: F.struct(weight(a, k).alias("w"), (a.sum + weight(a, k)).alias("sum")), lambda a: a.sum)
 
-    return F.aggregate(F.sequence(F.lit(0), top), zero, step, lambda a: a.k.cast("double"))
+    def step(a, k):
+        left = a.left - weight(a, k)
+        return F.struct(weight(a, k).alias("w"), left.alias("left"), F.when((a.k < 0) & (left <= a.all * alpha), k).otherwise(a.k).alias("k"), a.all.alias("all"))
+
+    zero = F.transform(F.array(total), lambda t: F.struct(F.lit(0.0).alias("w"), t.alias("left"), F.lit(-1).alias("k"), t.alias("all")))[0]
+    return F.aggregate(ks, zero, step, lambda a: a.k.cast("double"))
 
 
 def background(ev: DataFrame, keys, bounds: DataFrame, sensor: Sensor, tau: int, hot_min=10, factor=20.0, alpha=1e-3,
@@ -175,12 +182,6 @@ def cap_per_block(ev: DataFrame, n, sensor: Sensor, keys=("rec", "w"), slices=16
     return df.filter((N <= n) | ((j < n) & (idiv((j * 2 + 1) * N, n * 2) == r))).drop("_chunk", "_tot", "rk")
 
 
-def active_blocks(ev: DataFrame, rho: float, sensor: Sensor, keys=("rec", "w"), side=None) -> DataFrame:
-    side = side or sensor.block
-    return ev.groupBy(*keys, block_id("x", "y", side, sensor.width).alias("block")).agg(
-        F.count(F.lit(1)).alias("n")).filter(F.col("n") >= active_threshold(side, rho))
-
-
 def every_kth(df: DataFrame, keys, order, chunk, most: int) -> DataFrame:
     """Rows 0, k, 2k, .. of each key with k = ceil(n / most): at most `most` rows of evenly spaced rank."""
     df = ranked(df, keys, order, chunk, "rk", "_tot")

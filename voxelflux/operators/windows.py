@@ -4,10 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.cols import idiv
 
 
-def with_window(ev: DataFrame, t0: int) -> DataFrame:
-    return ev.withColumns({"w": idiv("t_us", t0), "tr": F.col("t_us") % t0})
-
-
 def key_windows(ev: DataFrame, t0: int, first=30, spacing=90, reach=11) -> DataFrame:
     """(rec, w) with (w + reach) t0 <= last time."""
     last = ev.groupBy("rec").agg(F.max("t_us").alias("t_last"))
@@ -22,10 +18,6 @@ def groups(keys: DataFrame, n: int) -> DataFrame:
         "rec", "g", F.col("m").cast("bigint").alias("m"), (F.col("g") + F.col("m")).alias("w"))
 
 
-def group_events(ev: DataFrame, keys: DataFrame, n: int) -> DataFrame:
-    return ev.join(groups(keys, n), ["rec", "w"])
-
-
 def spans(keys: DataFrame, before: int) -> DataFrame:
     """(rec, g, w) for the windows max(0, g - before) .. g."""
     return keys.select("rec", F.col("w").alias("g"),

@@ -228,11 +228,9 @@ def box_shares(ev, life, seg, sensor, every, length, margin, min_life, classes):
 
 # ---- label clock and label convention
 
-LATE = BOXES.replace("FROM labels_raw GROUP BY ALL),\ncls0", "FROM labels_raw WHERE t_us >= 172800000000 GROUP BY ALL),\ncls0")
-assert LATE != BOXES
-J19_SQL = f"""WITH {LATE}, cv(conv, off) AS (VALUES ('as_stored', 0::BIGINT), ('minus_offset', 172800000000)), wc AS (SELECT conv, off, rec,
- track_id, t_first, t_last, unnest(generate_series((t_first - off + 43199999999)//86400000000, (t_last - off - 43200000000)
- //86400000000)) AS w FROM tracks, cv), bc0 AS (SELECT * FROM {at_sql('wc', '(s0.w*86400000000 + 43200000000 + s0.off)')}), bc1 AS (SELECT
+J19_SQL = f"""WITH {BOXES}, cv(conv, off) AS (VALUES ('as_stored', 0::BIGINT), ('minus_offset', 172800000000)), wc AS (SELECT conv, off, rec,
+ track_id, t_first, t_last, unnest(generate_series(greatest(0, (t_first - off + 43199999999)//86400000000), CAST(floor((t_last - off -
+ 43200000000)/86400000000.0::DOUBLE) AS BIGINT))) AS w FROM tracks, cv), bc0 AS (SELECT * FROM {at_sql('wc', '(s0.w*86400000000 + 43200000000 + s0.off)')}), bc1 AS (SELECT
  conv, rec, w, track_id, greatest(0.0::DOUBLE, bx) AS x0, greatest(0.0::DOUBLE, by) AS y0, least(16.0::DOUBLE, bx+bw) AS x1,
  least(8.0::DOUBLE, by+bh) AS y1 FROM bc0), bc AS (SELECT conv, rec, w, track_id, x0 AS bx, y0 AS by, x1-x0 AS bw, y1-y0 AS bh FROM bc1
  WHERE x1 > x0 AND y1 > y0), px AS (SELECT conv, rec, w, track_id, x, y, (x >= ceil(bx) AND x < ceil(bx+bw) AND y >= ceil(by) AND y <
@@ -248,11 +246,9 @@ J19_SQL = f"""WITH {LATE}, cv(conv, off) AS (VALUES ('as_stored', 0::BIGINT), ('
 @query("j19_label_clock", J19_SQL)
 def j19(spark, d):
     ev = events(spark, d)
-    late = B.clean_labels(raw_labels(spark, d)).filter(F.col("t_us") >= 2 * DAY)
-    parts = []
-    for conv, off in (("as_stored", 0), ("minus_offset", 2 * DAY)):
-        seg = B.segments(late.withColumn("t_us", F.col("t_us") - off), DAY)
-        parts.append(B.boxes_at_centres(seg, DEMO).withColumn("conv", F.lit(conv)))
+    boxes = B.boxes_at_centres(B.segments(B.clean_labels(raw_labels(spark, d)), DAY), DEMO)
+    # the offset is two windows; what it moves before the first window has no events to compare with
+    parts = [boxes.withColumns({"conv": F.lit(conv), "w": F.col("w") - off}).filter("w >= 0") for conv, off in (("as_stored", 0), ("minus_offset", 2))]
     m = clock_ratio(ev, parts[0].unionByName(parts[1]), DEMO, (1.0, 3.0))
     return m.select("conv", "n_boxes", r6("med", "median_ratio"),
                     (F.col("med") == F.max("med").over(Window.partitionBy())).alias("chosen"))

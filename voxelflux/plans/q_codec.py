@@ -29,11 +29,10 @@ def bits_sql(src, key, cell):
 
 @query("w5_encode", f"""WITH {EV}, g AS (SELECT *, vi - coalesce(lag(vi) OVER (PARTITION BY rec, w ORDER BY vi), 0) AS gap FROM
  {idx_sql('ev', 'rec, w', (2, 3))}) SELECT rec, w, CAST(sum(c) AS BIGINT) AS n, string_agg(gap || ':' || c, ' ' ORDER BY vi) AS code,
- CAST(sum({uleb_sql('gap')} + c - 1) + max((SELECT {uleb_sql('q')} FROM (SELECT 0 AS q))) AS BIGINT) AS n_bytes FROM g GROUP BY ALL""")
+ CAST(sum({uleb_sql('gap')} + c - 1) + {uleb_sql('sum(c)')} AS BIGINT) AS n_bytes FROM g GROUP BY rec, w""")
 def w5(spark, d):
     c = E.encode(events(spark, d), (2, 3), DEMO)
     code = F.array_join(F.transform("code", lambda v: F.concat_ws(":", v.gap.cast("string"), v.c.cast("string"))), " ")
-    # windows of the demo hold fewer than 128 events, so the count takes one byte
     return c.select("rec", "w", "n", code.alias("code"), "n_bytes")
 
 

@@ -101,10 +101,10 @@ def a11(spark, d):
     return L.order_free_saving(hourly(spark, d), ["rec"]).withColumn("saving_bits", r6("saving_bits"))
 
 
-RES = (1, 6, 24)
+RES = (1, 2, 6, 12, 24)
 
 
-@query("w16_resolution_sweep", f"""WITH {EV}, rs(res) AS (VALUES (1::BIGINT),(6),(24)), s0 AS (SELECT res, rec, t_us//({HOUR}*res) AS t, x, y, p, row_number() OVER
+@query("w16_resolution_sweep", f"""WITH {EV}, rs(res) AS (VALUES (1::BIGINT),(2),(6),(12),(24)), s0 AS (SELECT res, rec, t_us//({HOUR}*res) AS t, x, y, p, row_number() OVER
  (PARTITION BY res, rec ORDER BY t_us//({HOUR}*res), y, x, p, seq) - 1 AS seq FROM ev, rs), {TIME.format(k='res, rec', src='s0')}, {TIE.format(
      k='res, rec', src='s0')}, tm AS (SELECT res, rec, sum(bits) AS tbits FROM tb GROUP BY ALL), ab AS (SELECT res, rec, -log2((row_number() OVER (PARTITION BY
  res, rec, x, y ORDER BY seq) - 0.5)/(row_number() OVER (PARTITION BY res, rec ORDER BY seq) + 63.0)) AS a, -log2((row_number() OVER (PARTITION BY res, rec, p

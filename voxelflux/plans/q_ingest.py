@@ -123,8 +123,8 @@ MANIFEST = """manifest AS (SELECT DISTINCT CASE WHEN s_suppkey % 5 < 3 THEN 'day
  || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS rec FROM supplier)"""
 
 
-@query("s8_population", f"""WITH {EV}, {MANIFEST}, hs AS (SELECT count(*) AS n_ids, sha256(string_agg(rec, chr(10)
- ORDER BY rec)) AS sha256 FROM manifest), a AS (SELECT rec, count(*) AS n_events FROM ev WHERE rec IN (SELECT rec FROM
+@query("s8_population", f"""WITH {EV}, {MANIFEST}, h1 AS (SELECT left(sha256(rec), 4) AS digits, count(*) AS n, sha256(string_agg(rec, chr(10)
+ ORDER BY rec)) AS hash FROM manifest GROUP BY 1), hs AS (SELECT CAST(sum(n) AS BIGINT) AS n_ids, sha256(string_agg(hash, chr(10) ORDER BY digits)) AS sha256 FROM h1), a AS (SELECT rec, count(*) AS n_events FROM ev WHERE rec IN (SELECT rec FROM
  manifest) GROUP BY rec) SELECT rec, n_events, n_ids, sha256 FROM a, hs""")
 def s8(spark, d):
     m = manifest(spark, d)

@@ -110,7 +110,7 @@ def m10a(spark, d):
                               "y1": F.lit(7)})
     src = key.withColumn("m", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(3).cast("bigint"))))
     tru = Ft.group_targets(ev, keys(ev), 4).select("rec", "g", "m", "tr", "x", "y", "p")
-    q = Ft.coordinate_search(src, tru, start, k, ["rec", "g", "m"], DEMO, rounds=2, offsets=(-1, 1))
+    q = Ft.coordinate_search(src, tru, start, k, ["rec", "g", "m"], DEMO)
     return q.select(*k, "dx", "dy", "ia", "ib", "ic", "id", "pairs", "np", r6("f1", "f1"))
 
 
@@ -277,7 +277,7 @@ def m7(spark, d):
         ((F.col("c") + F.col("e")) * 0.5).alias("cy"), F.greatest(F.lit(1.0), (F.col("b") - F.col("a")) * 0.5).alias("hx"),
         F.greatest(F.lit(1.0), (F.col("e") - F.col("c")) * 0.5).alias("hy"), F.col("sx0").alias("x0"), F.col("sx1").alias("x1"),
         F.col("sy0").alias("y0"), F.col("sy1").alias("y1"))
-    q = Ft.coordinate_search(src, fut, start, Ob.OK, Ob.OK, DEMO, rounds=2)
+    q = Ft.coordinate_search(src, fut, start, Ob.OK, Ob.OK, DEMO)
     return q.select(*Ob.OK, "dx", "dy", "ia", "ib", "ic", "id", "np", "pairs", r6("f1", "f1"))
 
 

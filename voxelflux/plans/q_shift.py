@@ -11,8 +11,8 @@ from .registry import query
 from .sqltext import h
 
 R, N_MIN = 4, 4
-GRIDS = [(1, 1), (1, 3), (1, 8), (2, 1), (2, 3)]
-DELAYS = tuple(j * (DAY // 64) for j in range(-4, 5))
+GRIDS = list(Ca.GRIDS)
+DELAYS = tuple(j * (DAY // 64) for j in range(-32, 33))
 FLICK = (DAY / 24.0, DAY / 12.0)
 
 

@@ -170,17 +170,30 @@ def a25(spark, d):
     return St.kendall_tau_b(it, ["rec"], "item", "a", "b").withColumn("tau_b", r6("tau_b"))
 
 
-@query("a29_decision", f"""WITH {DERIVED}, pr AS (SELECT lighting, setting, rec, median(Delta) AS v FROM dr WHERE skip = '' GROUP BY ALL), m AS (SELECT
- setting, median(v) FILTER (lighting = 'day') AS dd, median(v) FILTER (lighting = 'night') AS dn FROM pr GROUP BY setting) SELECT setting, round(dd,6)
+A29_SQL = f"""WITH {DERIVED}, pr AS (SELECT lighting, setting, rec, median(Delta) AS v, count(*) AS n, CAST(sum(n) AS BIGINT) AS num FROM dr WHERE
+ skip = '' GROUP BY ALL), dn AS (SELECT setting, rec, CAST(sum(n) AS BIGINT) AS den FROM inst_rows GROUP BY ALL), pw AS (SELECT setting, rec,
+ coalesce(num, 0) AS num, den FROM dn LEFT JOIN pr USING (setting, rec)), m AS (SELECT setting, median(v) FILTER (lighting = 'day') AS dd,
+ median(v) FILTER (lighting = 'night') AS dn FROM pr GROUP BY setting), lock AS (SELECT * FROM (WITH {boot_sql('pr', 'setting', 'median(v)', 2000)}
+ SELECT * FROM ci)), share AS (SELECT * FROM (WITH {boot_sql('pw', 'setting', 'sum(num)/sum(den)', 2000)} SELECT * FROM ci)) SELECT setting, round(dd,6)
  AS delta_day, round(dn,6) AS delta_night, CASE WHEN dd IS NULL OR dn IS NULL THEN 'UNDEFINED' WHEN dd >= 3 AND dn >= 3 THEN 'GO' WHEN dd < 1 AND dn <
- 1 THEN 'NO-GO' ELSE 'INTERMEDIATE' END AS outcome, CASE WHEN dn < 0.1 THEN 'independent' WHEN dd > 0.3 THEN 'correlated' ELSE 'partial' END AS
- reading_share, CASE WHEN dn < 2 THEN 'no lock within blocks' WHEN dd > 5 THEN 'lock within blocks' ELSE 'partial' END AS reading_lock FROM m""")
+ 1 THEN 'NO-GO' ELSE 'INTERMEDIATE' END AS outcome, CASE WHEN share.hi < 0.1 THEN 'independent' WHEN share.lo > 0.3 THEN 'correlated' ELSE 'partial' END
+ AS reading_share, CASE WHEN lock.hi < 2 THEN 'no lock within blocks' WHEN lock.lo > 5 THEN 'lock within blocks' ELSE 'partial' END AS reading_lock FROM
+ m JOIN lock USING (setting) JOIN share USING (setting)"""
+
+
+@query("a29_decision", A29_SQL)
 def a29(spark, d):
-    p = St.per_recording(derived(instant_rows(spark, d)).filter("skip = ''"), ["lighting", "setting", "rec"], ("Delta",))
+    """Decision from the medians of both groups; readings from the 95 % bounds of the pooled share and of the median."""
+    rows = instant_rows(spark, d)
+    p = cut_lineage(St.per_recording(derived(rows).filter("skip = ''"), ["lighting", "setting", "rec"], ("Delta",)))
     m = p.groupBy("setting").agg(F.median(F.when(F.col("lighting") == "day", F.col("Delta"))).alias("dd"),
                                  F.median(F.when(F.col("lighting") == "night", F.col("Delta"))).alias("dn"))
-    return m.select("setting", r6("dd", "delta_day"), r6("dn", "delta_night"), St.decision("dd", "dn").alias("outcome"),
-                    St.reading_share("dd", "dn").alias("reading_share"), St.reading_lock("dd", "dn").alias("reading_lock"))
+    share = rows.groupBy("setting", "rec").agg(F.sum(F.when(F.col("skip") == "", F.col("n")).otherwise(0)).alias("num"), F.sum("n").alias("den"))
+    lock = St.boot_median(p, ["setting"], "Delta").select("setting", F.col("lo").alias("lock_lo"), F.col("hi").alias("lock_hi"))
+    share = St.boot_ratio(share, ["setting"], "num", "den").select("setting", F.col("lo").alias("share_lo"), F.col("hi").alias("share_hi"))
+    return m.join(lock, "setting").join(share, "setting").select(
+        "setting", r6("dd", "delta_day"), r6("dn", "delta_night"), St.decision("dd", "dn").alias("outcome"),
+        St.reading_share("share_lo", "share_hi").alias("reading_share"), St.reading_lock("lock_lo", "lock_hi").alias("reading_lock"))
 
 
 DECOMP = EV + """, c1 AS (SELECT rec, w+1 AS w, p, least(2, tr*3//86400000000) AS tb, y//2 AS by, x//2 AS bx, count(*) AS c FROM ev GROUP BY ALL), c2 AS

@@ -205,13 +205,12 @@ def in_squares(e, sq, keys):
     return e.join(sq, [*keys, "square"]).withColumn("ts", F.col("tr") / float(DAY))
 
 
-@query("m2_variance_velocity", f"""WITH {EV}, {KEYS}, {SQUARES}, se AS (SELECT e.rec, e.w, sq.square, bx, by, x, y, tr/86400000000.0::DOUBLE AS ts FROM ev e JOIN sq ON
- sq.rec=e.rec AND sq.w=e.w AND (e.y//4)*4 + e.x//4 = sq.square SEMI JOIN keys ON keys.rec=e.rec AND keys.w=e.w), {velocity_sql('se', 'rec, w, square')} SELECT rec,
+@query("m2_variance_velocity", f"""WITH {EV}, {SQUARES}, se AS (SELECT e.rec, e.w, sq.square, bx, by, x, y, tr/86400000000.0::DOUBLE AS ts FROM ev e JOIN sq ON
+ sq.rec=e.rec AND sq.w=e.w AND (e.y//4)*4 + e.x//4 = sq.square), {velocity_sql('se', 'rec, w, square')} SELECT rec,
  w, square, round(vx,6) AS vx, round(vy,6) AS vy FROM vel""")
 def m2(spark, d):
     ev = events(spark, d)
-    k = ev.join(keys(ev), ["rec", "w"], "left_semi")
-    v = Ft.variance_velocity(in_squares(k, squares(k), ["rec", "w"]), ["rec", "w", "square"], **CM)
+    v = Ft.variance_velocity(in_squares(ev, squares(ev), ["rec", "w"]), ["rec", "w", "square"], **CM)
     return v.select("rec", "w", "square", r6("vx", "vx"), r6("vy", "vy"))
 
 

@@ -42,8 +42,3 @@ def box_at(src, t, seg_alias="g"):
     g = seg_alias
     f = f"(CASE WHEN {g}.tb IS NULL THEN 0.0 ELSE CAST({t} - {g}.ta AS DOUBLE)/({g}.tb - {g}.ta) END)"
     return ", ".join(f"{g}.{c}a + {f}*(COALESCE({g}.{c}b, {g}.{c}a) - {g}.{c}a) AS b{c}" for c in "xywh")
-
-
-def seg_on(alias, t, key="rec, track_id"):
-    """Join condition of a time against `seg`, clamped at both ends of the life."""
-    return (f"(({t} >= g.ta AND ({t} < g.tb OR g.tb IS NULL)))")

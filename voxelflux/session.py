@@ -16,10 +16,21 @@ def local_session(cpus="*", partitions=8, app="voxelflux") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a private folder only where none is set (tests)."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names. Only a local session (tests) gets one of its own; on a cluster executors would each write to
+    their own disks, so there a missing setting is an error."""
     sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(root)
+    return root
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder of the session."""
+    shared_root(df.sparkSession)
     return df.checkpoint()

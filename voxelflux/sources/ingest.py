@@ -136,10 +136,12 @@ def read_text_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ids_sha256(ids: DataFrame) -> DataFrame:
-    """Hash and count of an allow list (a manifest: one short row per recording, driver-config sized)."""
-    return ids.select("rec").distinct().agg(
-        F.count(F.lit(1)).alias("n_ids"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list("rec")), "\n"), 256).alias("sha256"))
+    """Hash and count of an allow list of any length, in two levels: ids are dealt by the first four digits of their own hash, each share is
+    hashed in order, and the at most 65,536 share hashes are hashed in the order of their digits."""
+    share = ids.select("rec").distinct().groupBy(F.substring(F.sha2("rec", 256), 1, 4).alias("digits")).agg(
+        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("rec")), "\n"), 256).alias("hash"))
+    return share.agg(F.sum("n").alias("n_ids"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("digits", "hash"))), lambda s: s["hash"]), "\n"), 256)
+                     .alias("sha256"))
 
 
 def allowed(ev: DataFrame, ids: DataFrame) -> DataFrame:
