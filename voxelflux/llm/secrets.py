@@ -77,11 +77,18 @@ def train(samples: DataFrame) -> list[float]:
     Nulls and words under two characters are ignored; without samples of a kind its model is uniform."""
     side = len(ALPHABET) + 1
     pairs = samples.where("random is not null and char_length(word) > 1").select("random", F.explode(_bigrams(F.col("word"))).alias("pair"))
-    count = {True: [0.5] * side * side, False: [0.5] * side * side}
+    count = {True: [0.0] * side * side, False: [0.0] * side * side}
     for r in pairs.groupBy("random", "pair").count().collect():          # at most 2 * side ** 2 rows
         count[r["random"]][r["pair"]] += r["count"]
-    rows = {k: [sum(v[a * side:(a + 1) * side]) for a in range(side)] for k, v in count.items()}
-    return [math.log(count[True][p] / rows[True][p // side] / (count[False][p] / rows[False][p // side])) for p in range(side * side)]
+    return [math.log(a / b) for a, b in zip(_conditional(count[True], side), _conditional(count[False], side))]
+
+
+def _conditional(pairs: list[float], side: int, weight: float = 5.0) -> list[float]:
+    """Probability of the second character of each pair after the first; a first character seldom seen leans on how often the second follows any."""
+    after = [0.5 + sum(pairs[a * side + b] for a in range(side)) for b in range(side)]
+    share = [x / sum(after) for x in after]
+    seen = [sum(pairs[a * side:(a + 1) * side]) for a in range(side)]
+    return [(pairs[p] + weight * share[p % side]) / (seen[p // side] + weight) for p in range(side * side)]
 
 
 def labelled_words(docs: DataFrame, sample: int = 20_000) -> DataFrame:
