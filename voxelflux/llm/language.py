@@ -78,9 +78,9 @@ class Model:
         return _softmax((sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature)
 
 
-def train(rows, epochs: int = 12, rate: float = 0.5, target_error: float = 0.01, seed: int = 7) -> Model | None:
+def train(rows, epochs: int = 12, rate: float = 0.5, target_error: float = 0.01, most: float = 0.5, seed: int = 7) -> Model | None:
     """`rows`: (label, buckets, counts). One row in five calibrates: the temperature with the least log loss, then the least rejection threshold at
-    which accepted rows have an error of `target_error` at most. Rows are also seen as short excerpts, so short texts are calibrated too."""
+    which accepted rows have an error of `target_error` at most, but `most` at most: what is likelier right than wrong is not rejected. Rows are also seen as short excerpts, so short texts are calibrated too."""
     classes = sorted({r[0] for r in rows})
     if not classes:
         return None
@@ -124,8 +124,10 @@ def train(rows, epochs: int = 12, rate: float = 0.5, target_error: float = 0.01,
     for t in [0.0, *np.sort(score)]:
         taken = score >= t
         if taken.sum() and 1 - right[taken].mean() <= target_error:
-            model.reject = float(t)
+            model.reject = min(float(t), most)
             break
+    else:
+        model.reject = most
     return model
 
 
