@@ -53,11 +53,13 @@ def _counts(batches):
                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(count.astype(np.int32)))], names=["label", "bucket", "count"])
 
 
-def class_sample(rows: DataFrame, label: str, per_class: int, max_classes: int = 256) -> DataFrame:
-    """About `per_class` rows of each of the `max_classes` most frequent labels, picked by a hash of (doc_id, text): a bounded set to fit on."""
+def class_sample(rows: DataFrame, label: str, per_class: int, max_classes: int = 256, max_rows: int = 8000) -> DataFrame:
+    """About `per_class` rows of each of the `max_classes` most frequent labels, `max_rows` in all, picked by a hash of (doc_id, text): a bounded
+    set to fit on."""
     n = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_classes).collect()
     if not n:
         return rows.limit(0)
+    per_class = max(1, min(per_class, max_rows // len(n)))
     share = F.element_at(F.create_map(*[F.lit(x) for r in n for x in (r[0], min(1.0, per_class / r["count"]))]), F.col(label))
     picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
     return rows.where(picked).limit(2 * per_class * len(n))

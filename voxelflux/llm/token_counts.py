@@ -106,7 +106,7 @@ class Ledger:
             raise ValueError(f"a batch name has letters, digits, - and _: {batch!r}")
         if batch in self.batches():
             return False
-        rows.select(*KEYS, *MEASURES).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")   # a row for each group
+        rows.select(*KEYS, *MEASURES).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
         return True
 
     def totals(self) -> DataFrame:
@@ -120,5 +120,5 @@ class Ledger:
     def fold(self) -> None:
         """Sum all committed batches into a new base, so that totals read one table. Batch folders stay as marks of what was committed."""
         names, name = self.batches(), f"{len(self._marked('base')):08d}"
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base/{name}")
+        self.totals().write.mode("overwrite").parquet(f"{self.path}/base/{name}")
         self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/members/{name}")
