@@ -5,7 +5,7 @@ rate r adds r * t * posterior to the domain totals. Rates minimise
 
     sum over domains (total / scale - target share)^2 / 2 + ridge / 2 * sum over documents (t / scale) (r - 1)^2,   r >= 0,
 
-by projected gradient steps: the first term needs only the vector of totals, which Spark sums in every step, and a document's step
+by projected gradient steps (`fitted`; `matched`, which the query uses, weighs the domains and moves the goals until the totals meet the targets themselves): the first term needs only the vector of totals, which Spark sums in every step, and a document's step
 needs only its own posterior. Rates are a function of the posteriors and of the vectors so far, so the driver holds one vector of
 domain totals for each step, and no document.
 """
@@ -140,6 +140,34 @@ def fitted(members: DataFrame, targets: dict[str, float] = TARGETS, ridge: float
         last = share
 
 
+def matched(members: DataFrame, targets: dict[str, float] = TARGETS, ridge: float = 0.01, steps: int = 80, tolerance: float = 0.01):
+    """As `fitted`, but domains weigh by the inverse of their input shares (no eigenvalue grows beyond 1), and whenever the totals stand still the goals are
+    moved by what is missing (method of multipliers), so that the ridge only chooses among rates that meet the targets. It ends when every total
+    is within `tolerance` of its target, relative to it, when three moves bring nothing, or after `steps`."""
+    goal = np.array([targets[d] for d in DOMAINS], float)
+    step, pulls, last, aim = 1.0 / (1.0 + ridge), [], None, goal.copy()
+    scale = float(members.agg(F.sum("tokens")).first()[0] or 0)
+    if not scale:
+        return pulls, step, np.zeros(len(DOMAINS))
+    small, best, idle = members.select("tokens", "posterior"), np.inf, 0
+    while True:
+        rows = small.mapInArrow(_totals(pulls, step, ridge), "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect()
+        share, ahead = np.array([r.total for r in sorted(rows)]).reshape(2, -1) / scale
+        if last is None:
+            weight = np.divide(1, share, out=np.zeros_like(share), where=share > 0)
+        gap = np.abs(share - goal) / np.maximum(goal, 1e-6)
+        if len(pulls) == steps or gap.max() <= tolerance:
+            return pulls, step, share
+        if last is not None and (np.abs(share - last) <= 0.1 * np.abs(share - goal) + tolerance / 10 * goal).all():
+            idle = idle + 1 if gap.max() > 0.99 * best else 0
+            best = min(best, gap.max())
+            if idle == 3:
+                return pulls, step, share
+            aim = aim + goal - share
+        pulls.append(((ahead - aim) * weight).tolist())
+        last = share
+
+
 def mixed(docs: DataFrame, labels: DataFrame, *keep: Column, targets: dict[str, float] = TARGETS, ridge: float = 0.01, per_class: int = 1200) -> DataFrame:
     """One row per row of `docs` (doc_id, text, n_chars if there is such a column): doc_id, the columns `keep`, tokens, the posterior of each domain
     (p_good, p_poor, p_toxic), rate. Rates are expected copies: 0 leaves a document out, 2 takes it twice.
@@ -148,7 +176,7 @@ def mixed(docs: DataFrame, labels: DataFrame, *keep: Column, targets: dict[str,
     doc_id stays null; labels may be empty (posteriors are uniform then); an empty table gives no row. Targets are shares of the input's tokens.
     """
     members = stored(memberships(docs, fit(docs, labels, per_class), *keep))
-    pulls, step, _ = fitted(members, targets, ridge)
+    pulls, step, _ = matched(members, targets, ridge)
     names = members.columns
 
     def run(batches):
