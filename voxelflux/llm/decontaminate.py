@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds join passages of documents to benchmark items, and a Smith-Waterman alignment scores each pair.
-
-1. A bitmap of fixed size (`BITS` bits, whatever the benchmark's size) holds the hashes of all item n-grams. Documents are read once; only
-   the surroundings of n-grams that pass the bitmap go on, as passages. The bitmap may let others pass; it never loses one.
-2. Corpus frequencies of the passed n-grams are counted. Of each `SPREAD` successive n-grams of an item the rarest is a seed, so no stretch of an item
-   is without one, however often it was copied.
-3. Passages join items on seeds; each pair is aligned over words, with gaps, and scored against the item's own length.
+"""Benchmark decontamination: seeds of one or two words join passages of documents to benchmark items, and a Smith-Waterman alignment scores each pair.
+
+1. An alignment that scores `threshold` of an item of n words keeps at least (2 threshold - 1) n - 1 of its word pairs, and threshold * n of its words: every break
+   between matched runs costs a point. An item's seeds are its pairs, or its words where that count of pairs is under 1. Of the count that must be there, half may
+   be left out as the corpus' most frequent ones; of the other seeds the rest of the count is asked for. So no copy is lost, whatever other copies exist.
+2. A bitmap of fixed size (`BITS` bits, whatever the benchmark's size) holds the seeds' hashes; documents are read once to count seeds and once to cut out the
+   surroundings of those that stay, as passages. The bitmap may let others pass; it never loses one.
+3. Passages join items on seeds; each pair with enough of them is aligned over words, with gaps, and scored against the item's own length.
 """
 import numpy as np
 import pyarrow as pa
@@ -12,21 +13,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .textops import ALNUM, U64, Words, chunks, stored
 
-GRAM, SPREAD, BITS = 4, 3, 1 << 25
+LEAST, BITS = 4, 1 << 25
 MATCH, MISS, GAP = 2, -1, -1
 PASSAGE = "doc_id long, d long, h long, first int, words array<long>, begin array<int>, finish array<int>, grams array<long>"
 
 
-def _items(batches):
-    """Words and n-grams of each item, as hashes."""
-    for batch in batches:
-        for i, j, data, offs in chunks(batch.column("text")):
-            w = Words(data, offs, ALNUM)
-            at, g = w.grams(GRAM)
-            cut = np.searchsorted(w.row[at], np.arange(j - i + 1)) if len(at) else np.zeros(j - i + 1, int)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("item_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.append(w.first, len(w.hash)), pa.int32()), pa.array(w.hash.view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(g.view(np.int64)))], names=["item_id", "item", "grams"])
+def _items(threshold: float):
+    """Words of each item, its seeds in order, and how many of them a copy holds at least; all as hashes."""
+    def run(batches):
+        for batch in batches:
+            for i, j, data, offs in chunks(batch.column("text")):
+                w = Words(data, offs, ALNUM)
+                (_, one), (at, two) = w.grams(1), w.grams(2)
+                need, seeds = [], []
+                for a, b in zip(w.first, w.last):
+                    n = int(b - a)
+                    pairs = int(np.ceil((2 * threshold - 1) * n - 1 - 1e-9))
+                    need.append(pairs if pairs > 0 else max(1, int(np.ceil(threshold * n - 1e-9))))
+                    seeds.append(one[:0] if n < LEAST else two[np.searchsorted(at, a):np.searchsorted(at, b - 1)] if pairs > 0 else one[a:b])
+                cut, g = np.append(0, np.cumsum([len(x) for x in seeds])), np.concatenate(seeds) if seeds else one
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("item_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.append(w.first, len(w.hash)), pa.int32()), pa.array(w.hash.view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(g.view(np.int64))), pa.array(need, pa.int32())], names=["item_id", "item", "grams", "need"])
+    return run
 
 
 def bitmap(grams: DataFrame) -> np.ndarray:
@@ -39,26 +48,41 @@ def bitmap(grams: DataFrame) -> np.ndarray:
     return out
 
 
-def _passages(bits, margin: int):
-    """Surroundings of the n-grams that pass the bitmap: `margin` words on either side, joined where they overlap."""
-    def passes(h, table, shift):
+def _passing(w: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the words and word pairs that pass the bitmap, in order."""
+    def passes(h, shift):
         p = (h >> U64(shift)) & U64(BITS - 1)
         return (table[(p >> U64(5)).astype(np.int64)] >> (p & U64(31)).astype(np.uint32)) & 1 == 1
+    at, g = (np.concatenate(x) for x in zip(w.grams(1), w.grams(2)))
+    ok = np.flatnonzero(passes(g, 0))
+    ok = ok[passes(g[ok], 32)]
+    ok = ok[np.argsort(at[ok], kind="stable")]
+    return at[ok], g[ok]
+
 
+def _counts(bits):
+    """Occurrences of the grams that pass the bitmap."""
+    def run(batches):
+        for batch in batches:
+            found = [_passing(Words(data, offs, ALNUM), bits.value)[1] for _, _, data, offs in chunks(batch.column("text"))]
+            g, n = np.unique(np.concatenate(found or [np.zeros(0, U64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+    return run
+
+
+def _passages(bits, margin: int):
+    """Surroundings of the grams that pass the bitmap: `margin` words on either side, joined where they overlap."""
     def run(batches):
         table = bits.value
         for batch in batches:
             row, first, lists = [], [], [[], [], [], []]
             for i, _, data, offs in chunks(batch.column("text")):
                 w = Words(data, offs, ALNUM)
-                at, g = w.grams(GRAM)
-                ok = np.flatnonzero(passes(g, table, 0))
-                ok = ok[passes(g[ok], table, 32)]
-                at, g = at[ok], g[ok]
+                at, g = _passing(w, table)
                 if not len(at):
                     continue
                 lo = np.maximum(at - margin, w.first[w.row[at]])
-                hi = np.minimum(at + GRAM + margin, w.last[w.row[at]])
+                hi = np.minimum(at + 2 + margin, w.last[w.row[at]])
                 new = np.flatnonzero(np.append(True, lo[1:] >= hi[:-1]))
                 for a, b in zip(new, np.append(new[1:], len(at))):
                     s, e, r = lo[a], hi[b - 1], w.row[at[a]]
@@ -119,19 +143,21 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.6) -> D
     """
     key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     items = stored(items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where("text is not null").distinct()
-                   .mapInArrow(_items, "item_id long, item array<long>, grams array<long>"))
+                   .mapInArrow(_items(threshold), "item_id long, item array<long>, grams array<long>, need int"))
     items = items.withColumn("i", F.xxhash64("item_id", "item"))
-    grams = items.select("i", F.posexplode("grams").alias("pos", "g"))
-    margin = items.agg(F.max(F.size("item"))).first()[0] or 0
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(grams))
+    grams = items.select("i", "need", F.posexplode("grams").alias("pos", "g"))
+    longest = items.agg(F.max(F.size("item"))).first()[0] or 0
+    margin = int(np.ceil((1 + 2 * max(0.0, 1 - threshold)) * longest))        # an alignment is no longer: each further word costs a point
+    spread = docs.sparkSession.sparkContext.broadcast
     docs = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(0)).alias("d"), F.xxhash64(key, text).alias("h"), text.alias("text"))
-    passages = stored(docs.mapInArrow(_passages(bits, margin), PASSAGE))
+    often = docs.select("text").mapInArrow(_counts(spread(bitmap(grams))), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    ranked = grams.join(often, "g", "left").withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc_nulls_last("n"), "pos")))
+    spare = F.floor(F.col("need") / 2)
+    seeds = stored(ranked.where((F.col("k") > spare) & F.col("n").isNotNull()).select("i", "g", (F.col("need") - spare).alias("ask")))
+    passages = stored(docs.mapInArrow(_passages(spread(bitmap(seeds)), margin), PASSAGE))
     hits = passages.select("d", "h", "first", F.explode("grams").alias("g"))
-    often = hits.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("i").orderBy("pos").rowsBetween(0, SPREAD - 1)
-    ranked = grams.join(often, "g").select("i", "pos", "g", F.min(F.struct("n", "pos", "g")).over(ahead).alias("seed"))
-    seeds = ranked.select("i", F.col("seed.g").alias("g")).distinct()
-    pairs = hits.join(seeds, "g").select("d", "h", "first", "i").distinct()
+    pairs = hits.join(seeds, "g").groupBy("d", "h", "first", "i").agg(F.count(F.lit(1)).alias("n"), F.max("ask").alias("ask"))
+    pairs = pairs.where("n >= ask").select("d", "h", "first", "i").distinct()
     rows = pairs.join(passages, ["d", "h", "first"]).join(items, "i").select("doc_id", "h", "item_id", "item", "words", "begin", "finish")
     found = rows.mapInArrow(_scored(threshold), "doc_id long, h long, item_id long, score double, begin int, finish int")
     best = found.groupBy("doc_id", "h", "item_id").agg(F.min(F.struct(-F.col("score"), "begin", "finish")).alias("b"))
