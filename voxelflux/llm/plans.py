@@ -1,5 +1,7 @@
 """Registered queries of the subpackage: each applies one operator, with production parameters, to its whole table."""
-from . import factorisation, language, token_counts
+from pyspark.sql import functions as F
+
+from . import chat, factorisation, fim, language, token_counts
 from .decontaminate import contaminated
 from .mixing import mixed
 from .quality_rules import QUALITY_SQL, cascade
@@ -80,3 +82,19 @@ def op1_token_counts(spark, sf_dir):
 @query("op5_mixing")
 def op5_mixing(spark, sf_dir):
     return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_fim", fim.FIM_SQL)
+def op11_fim(spark, sf_dir):
+    out = fim.transformed(table(spark, sf_dir, "documents"), rate=90, spm=20)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query("op12_chat", chat.CHAT_SQL)
+def op12_chat(spark, sf_dir):
+    """The table's rows come as an event log with streamed, regenerated, edited and repeated messages; conversation -7 holds the template's own marks."""
+    marks = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(stored(chat.formatted(chat.log_of(turns.unionByName(own)))))
