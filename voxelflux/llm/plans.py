@@ -1,7 +1,7 @@
 """Registered queries of the subpackage: each applies one operator, with production parameters, to its whole table."""
 from pyspark.sql import functions as F
 
-from . import chat, factorisation, fim, language, token_counts
+from . import chat, collocations, factorisation, fim, language, token_counts
 from .decontaminate import contaminated
 from .mixing import mixed
 from .quality_rules import QUALITY_SQL, cascade
@@ -98,3 +98,8 @@ def op12_chat(spark, sf_dir):
     own = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(stored(chat.formatted(chat.log_of(turns.unionByName(own)))))
+
+
+@query("op13_collocations", collocations.PHRASES_SQL)
+def op13_collocations(spark, sf_dir):
+    return collocations.phrases(table(spark, sf_dir, "documents"), least=100, top=2000)
