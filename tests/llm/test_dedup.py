@@ -173,7 +173,11 @@ def test_alignment_matches_brute_force():
     rnd = random.Random(5)
     for _ in range(60):
         a, b = ([rnd.randint(0, 4) for _ in range(rnd.randint(1, 25))] for _ in range(2))
-        assert decontaminate.align(np.array(a), np.array(b))[0] == align_by_hand(a, b)
+        assert decontaminate.align([np.array(a)], [np.array(b)])[0][0] == align_by_hand(a, b)
+    pairs = [[[rnd.randint(0, 4) for _ in range(rnd.randint(1, 25))] for _ in range(2)] for _ in range(40)]
+    top, end = decontaminate.align(*[[np.array(p[k]) for p in pairs] for k in (0, 1)])
+    assert top.tolist() == [align_by_hand(*p) for p in pairs]
+    assert all(align_by_hand(p[0], p[1][:e]) == t for p, t, e in zip(pairs, top.tolist(), end.tolist()))
 
 
 def test_decontamination(spark, edge, empty):
