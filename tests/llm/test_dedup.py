@@ -132,6 +132,14 @@ def test_components(spark):
     assert components.components(edges.limit(0)).collect() == []
 
 
+def test_one_large_component(spark):
+    """A star of 100,000 nodes with tails: every node gets the least one."""
+    n = 100_000
+    star = spark.range(1, n).selectExpr("id a", "77777L b").unionAll(spark.range(1000).selectExpr(f"{n} + id a", f"if(id = 0, 5L, {n} + id - 1) b"))
+    got = components.components(star)
+    assert got.count() == n - 1 + 1000 and got.where("root != 1").count() == 0
+
+
 def test_units_match_brute_force(spark, edge, empty):
     rnd = random.Random(4)
     lines = ["  ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(15)]

@@ -12,8 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .decontaminate import BITS, bitmap
-from .textops import BYTE_CODE, U64, chunks, powers, scramble, stored
+from .textops import BYTE_CODE, U64, bitmap, chunks, passes, powers, scramble, stored
 
 LONGEST, TRIGGER = 5, 16
 #: Bytes as they are compared, and their kind: 0 in a word, 1 between words, 2 between pieces.
@@ -89,14 +88,6 @@ def _lang_codes(column) -> np.ndarray:
     return code[kinds.indices.to_numpy(zero_copy_only=False)]
 
 
-def _passes(g: np.ndarray, table: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(g), bool)
-    for shift in (0, 32):
-        at = (g >> U64(shift)) & U64(BITS - 1)
-        ok &= (table[(at >> U64(5)).astype(np.int64)] >> (at & U64(31)).astype(np.uint32)) & 1 == 1
-    return ok
-
-
 def _counted(size: int, bits):
     """n-grams of `size` words in distinct chunks with the sums of their weights in a stretch: lang, phrase, g (hash of language and words), f."""
     def summed(parts):
@@ -132,7 +123,7 @@ def _counted(size: int, bits):
                 place = np.arange(len(p.start)) - np.searchsorted(p.row, p.row)
                 ok = (place[:n] < own[i:j][p.row[:n]]) & (p.row[:n] == p.row[size - 1:])
                 if table is not None:
-                    part = _passes(grams(size - 1), table)
+                    part = passes(grams(size - 1), table)
                     ok &= part[:n] & part[1:n + 1]
                 at = np.flatnonzero(ok)
                 if not len(at):

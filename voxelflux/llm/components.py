@@ -13,12 +13,12 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.where("v > u").join(stored(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, moves to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     down = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     `edges` has two columns of one type. Nulls, loops and repeated edges are ignored; no edges give no rows.
 
     A round moves rows between tables in the shared folder, so nothing but two numbers (to see that nothing changed) comes
-    to the driver; rounds grow with the logarithm of the node count. A node with many edges is summed before it is shuffled.
+    to the driver; rounds grow with the logarithm of the node count. A node with many edges is summed before it is shuffled, and meets
+    its edges in a join of two stored tables, which can be split at it.
     """
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .textops import ALNUM, U64, Words, chunks, stored
+from .textops import ALNUM, BITS, U64, Words, bitmap, chunks, passes, stored
 
-BITS, BLOCK, AREA = 1 << 25, 1 << 21, 1 << 20
+BLOCK, AREA = 1 << 21, 1 << 20
 MATCH, MISS, GAP = 2, -1, -1
 
 
@@ -39,24 +39,10 @@ def _items(threshold: float, least_words: int):
     return run
 
 
-def bitmap(grams: DataFrame) -> np.ndarray:
-    """BITS bits with two set for each hash in column g; what comes to the driver has this fixed size at most."""
-    place = F.explode(F.array(F.col("g").bitwiseAND(BITS - 1), F.shiftrightunsigned("g", 32).bitwiseAND(BITS - 1)))
-    rows = grams.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("slot")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toPandas()
-    out = np.zeros(BITS // 32, np.uint32)
-    out[rows["slot"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
 def _passing(w: Words, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of the words and word pairs that pass the bitmap, in order."""
-    def passes(h, shift):
-        p = (h >> U64(shift)) & U64(BITS - 1)
-        return (table[(p >> U64(5)).astype(np.int64)] >> (p & U64(31)).astype(np.uint32)) & 1 == 1
     at, g = (np.concatenate(x) for x in zip(w.grams(1), w.grams(2)))
-    ok = np.flatnonzero(passes(g, 0))
-    ok = ok[passes(g[ok], 32)]
+    ok = np.flatnonzero(passes(g, table))
     ok = ok[np.argsort(at[ok], kind="stable")]
     return at[ok], g[ok]
 

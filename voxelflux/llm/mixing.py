@@ -5,10 +5,12 @@ rate r adds r * t * posterior to the domain totals. Rates minimise
 
     sum over domains (total / scale - target share)^2 / 2 + ridge / 2 * sum over documents (t / scale) (r - 1)^2,   r >= 0,
 
-by projected gradient steps (`fitted`; `matched`, which the query uses, weighs the domains and moves the goals until the totals meet the targets themselves): the first term needs only the vector of totals, which Spark sums in every step, and a document's step
+by projected gradient steps (`matched` weighs the domains and moves the goals until the totals meet the targets themselves): the first term needs only the vector of totals, which Spark sums in every step, and a document's step
 needs only its own posterior. Rates are a function of the posteriors and of the vectors so far, so the driver holds one vector of
 domain totals for each step, and no document.
 """
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -140,10 +142,17 @@ def fitted(members: DataFrame, targets: dict[str, float] = TARGETS, ridge: float
         last = share
 
 
+def _told(share: np.ndarray, goal: np.ndarray, met: bool) -> np.ndarray:
+    if not met:
+        warnings.warn("targets are not met: " + ", ".join(f"{d} {x:.5f} of {g:.5f}" for d, x, g in zip(DOMAINS, share, goal)), stacklevel=3)
+    return share
+
+
 def matched(members: DataFrame, targets: dict[str, float] = TARGETS, ridge: float = 0.01, steps: int = 80, tolerance: float = 0.01):
-    """As `fitted`, but domains weigh by the inverse of their input shares (no eigenvalue grows beyond 1), and whenever the totals stand still the goals are
+    """Gradients of the projected-gradient fit and the totals that it reaches: (pulls, step, totals as shares of the input's tokens). `members` should be stored: every step reads its
+    tokens and posteriors once. Domains weigh by the inverse of their input shares (no eigenvalue grows beyond 1), and whenever the totals stand still the goals are
     moved by what is missing (method of multipliers), so that the ridge only chooses among rates that meet the targets. It ends when every total
-    is within `tolerance` of its target, relative to it, when three moves bring nothing, or after `steps`."""
+    is within `tolerance` of its target, relative to it, when three moves bring nothing, or after `steps`; in the latter cases a warning names the totals. Without tokens all totals are 0."""
     goal = np.array([targets[d] for d in DOMAINS], float)
     step, pulls, last, aim = 1.0 / (1.0 + ridge), [], None, goal.copy()
     scale = float(members.agg(F.sum("tokens")).first()[0] or 0)
@@ -157,12 +166,12 @@ def matched(members: DataFrame, targets: dict[str, float] = TARGETS, ridge: floa
             weight = np.divide(1, share, out=np.zeros_like(share), where=share > 0)
         gap = np.abs(share - goal) / np.maximum(goal, 1e-6)
         if len(pulls) == steps or gap.max() <= tolerance:
-            return pulls, step, share
+            return pulls, step, _told(share, goal, gap.max() <= tolerance)
         if last is not None and (np.abs(share - last) <= 0.1 * np.abs(share - goal) + tolerance / 10 * goal).all():
             idle = idle + 1 if gap.max() > 0.99 * best else 0
             best = min(best, gap.max())
             if idle == 3:
-                return pulls, step, share
+                return pulls, step, _told(share, goal, False)
             aim = aim + goal - share
         pulls.append(((ahead - aim) * weight).tolist())
         last = share
@@ -186,3 +195,12 @@ def mixed(docs: DataFrame, labels: DataFrame, *keep: Column, targets: dict[str,
                                               pa.array(rates(p, pulls, step, ridge)[0])], names=[*names[:-1], *[f"p_{d}" for d in DOMAINS], "rate"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema.fields[:-1])
     return members.mapInArrow(run, schema + "".join(f", p_{d} double" for d in DOMAINS) + ", rate double")
+
+
+def drawn(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """The rows of `docs` with their columns, `rate` and `copies` (in place of columns of these names): copies is a draw with mean rate by a hash of doc_id and text, and rows of no copy
+    go. Nulls, empty texts and tables as in `mixed`."""
+    rows = mixed(docs, labels, F.struct("*").alias("_row"), targets=targets)
+    draw = F.pmod(F.xxhash64("doc_id", "_row.text"), F.lit(1 << 30)) / (1 << 30)
+    free = [c for c in docs.columns if c not in ("rate", "copies")]
+    return rows.select(*[F.col("_row")[c].alias(c) for c in free], "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies")).where("copies > 0")

@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFra
     """
     docs = stored(fingerprints(docs, shingle))
     rooted = _rooted(docs, bits).join(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = stored(rooted)
+    named = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))        # two tables: a large component's join can be split
     named = rooted.join(named, "root").select("fp", "component_id")
     return docs.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

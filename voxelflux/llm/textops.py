@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Only where that is unset (tests), a local folder is set as checkpoint folder."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local session (tests) gets a local
+    folder as checkpoint folder, and a cluster session an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         root = sc.getCheckpointDir()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -46,6 +49,31 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a bitmap of hashes.
+BITS = 1 << 25
+
+
+def bitmap(grams: DataFrame) -> np.ndarray:
+    """BITS bits with two set for each hash in column g; what comes to the driver has this fixed size at most."""
+    place = F.explode(F.array(F.col("g").bitwiseAND(BITS - 1), F.shiftrightunsigned("g", 32).bitwiseAND(BITS - 1)))
+    rows = grams.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("slot")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toPandas()
+    out = np.zeros(BITS // 32, np.uint32)
+    out[rows["slot"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def passes(g: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which hashes have both bits set."""
+    def bit(h, shift):
+        at = (h >> U64(shift)) & U64(BITS - 1)
+        return (table[(at >> U64(5)).astype(np.int64)] >> (at & U64(31)).astype(np.uint32)) & 1 == 1
+    ok = bit(g, 0)
+    some = np.flatnonzero(ok)
+    ok[some] = bit(g[some], 32)
+    return ok
+
+
 def held_out(doc_id) -> Column:
     """crc32(doc_id as text) mod 4 is 2; a null doc_id counts as not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
