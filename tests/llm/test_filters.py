@@ -211,3 +211,12 @@ def test_held_out_rule(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", held_out("doc_id").alias("x"))
     assert all(r.x == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in df.collect())
     assert spark.sql("select cast(null as long) as doc_id").select(held_out("doc_id").alias("x")).first().x is False
+
+
+def test_token_query_counts_the_whole_table(spark, sf):
+    """The totals after deletes and returns are those of all documents, as SQL counts words and bytes."""
+    want = duckdb.sql(f"""SELECT source, lang, count(*), CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS BIGINT), CAST(sum(strlen(coalesce(text, ''))) AS BIGINT)
+                          FROM '{sf}/documents.parquet' GROUP BY 1, 2""").fetchall()
+    got = plans.op1_token_counts(spark, sf).collect()
+    assert sorted(map(str, ((r.source, r.lang, r.n_docs, r.n_tokens, r.n_bytes) for r in got if r.tokenizer == "words"))) == sorted(map(str, want))
+    assert {(r.source, r.lang, r.n_docs, r.n_bytes) for r in got} == {(*w[:3], w[4]) for w in want} and len(got) == 3 * len(want)

@@ -26,10 +26,10 @@ STRETCH = 1 << 20
 
 
 class Parse:
-    """Words of a chunk of texts: start and end byte, row, whether a piece begins, and a 64-bit hash of each."""
+    """Words of a chunk of texts: start and end byte, row, whether a piece begins, and a 64-bit hash of each. `kind` tells bytes in words, between words and between pieces apart."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
-        self.data, kind = LOWER[data], KIND[data]
+    def __init__(self, data: np.ndarray, offs: np.ndarray, kind: np.ndarray = KIND):
+        self.data, kind = LOWER[data], kind[data]
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = kind == 0
         edge = np.zeros(len(data) + 1, bool)

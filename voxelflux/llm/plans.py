@@ -9,7 +9,7 @@ from .secrets import secrets
 from .simhash import near_duplicates
 from .substrings import repeated_bytes
 from .textops import held_out, shared_folder, stored, table
-from .units import UNITS_SQL, repeated_units
+from .units import RUNS_SQL, repeated_runs
 
 QUERIES, ORACLES = {}, {}
 
@@ -55,9 +55,9 @@ def op8_quality_classifier(spark, sf_dir):
     return factorisation.score(docs, factorisation.fit(docs, labels.where(~held_out("doc_id")), per_class=1500), cut=0.7)
 
 
-@query("op9_line_dedup", UNITS_SQL)
+@query("op9_line_dedup", RUNS_SQL)
 def op9_line_dedup(spark, sf_dir):
-    return repeated_units(table(spark, sf_dir, "documents"), unit="line", min_words=15).drop("h")
+    return repeated_runs(table(spark, sf_dir, "documents"), min_words=25).drop("h")
 
 
 @query("op10_decontamination")
@@ -67,15 +67,16 @@ def op10_decontamination(spark, sf_dir):
 
 @query("op1_token_counts")
 def op1_token_counts(spark, sf_dir):
-    """A ledger with three batches: documents come in with provisional counts, exact counts revise them (committed twice, as after a lost
-    reply), and documents without a token are deleted."""
+    """A ledger with four batches: documents come in with provisional counts, exact counts revise them (committed twice, as after a lost
+    reply), the documents of one residue of doc_id are withdrawn, and come in again. The totals are those of the whole table."""
     counts = stored(token_counts.counted(table(spark, sf_dir, "documents")))
     ledger = token_counts.Ledger(spark, shared_folder(spark))
-    early, empty = token_counts.provisional(counts), counts.where("n_tokens = 0")
+    early, some = token_counts.provisional(counts), counts.where("doc_id % 10 = 3")
     ledger.commit("ingest", token_counts.deltas(inserted=early))
     for _ in range(2):
         ledger.commit("exact-counts", token_counts.deltas(revised=(early, counts)))
-    ledger.commit("withdrawn", token_counts.deltas(deleted=empty))
+    ledger.commit("withdrawn", token_counts.deltas(deleted=some))
+    ledger.commit("back", token_counts.deltas(inserted=some))
     return ledger.totals()
 
 

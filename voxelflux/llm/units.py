@@ -1,5 +1,8 @@
 """Line or paragraph deduplication: units are normalised and hashed, digests are grouped over all documents, the earliest
-ranked occurrence stays and the others are removed at their original offsets."""
+ranked occurrence stays and the others are removed at their original offsets.
+
+`repeated_units` takes whole lines or paragraphs. `repeated_runs` takes lines cut at ends of sentences, and hashes runs of neighbours of `min_words` words, so that short lines and
+passages inside long lines are found too."""
 import hashlib
 
 import numpy as np
@@ -7,7 +10,8 @@ import pyarrow as pa
 import re
 from pyspark.sql import DataFrame, functions as F
 
-from .textops import stored
+from .collocations import Parse
+from .textops import U64, bitmap, chunks, passes, powers, scramble, stored
 
 BREAKS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t\r\x0b\f]*\n\\s*")}
 UNIT = "doc_id long, d long, h long, unit_no int, start int, end int, h1 long, h2 long"
@@ -60,27 +64,134 @@ def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 15) ->
     return out.select("doc_id", "unit_no", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit_no").alias("keep_unit_no"), "copies", "h")
 
 
-def without_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """`docs` with the units of `removed` (from `repeated_units`) cut out of text; a unit's break goes with it. All rows and columns stay."""
+def without_units(docs: DataFrame, removed: DataFrame, breaks: int = 1) -> DataFrame:
+    """`docs` with the units of `removed` (from `repeated_units`, or with `breaks` 0 from `repeated_runs`) cut out of text, and `breaks` characters behind each. All rows and columns stay."""
     spans = removed.distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("_h"))
     rows = rows.join(spans, rows._id.eqNullSafe(spans.doc_id) & (rows._h == spans.h), "left").select("_row", "_spans")
-    text, edges = F.col("_row.text"), F.concat(F.array(F.lit(0)), F.flatten(F.transform("_spans", lambda s: F.array(s["start"], s["end"] + 1))))
+    text, edges = F.col("_row.text"), F.concat(F.array(F.lit(0)), F.flatten(F.transform("_spans", lambda s: F.array(s["start"], s["end"] + breaks))))
     kept = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda i: F.substr(text, edges[2 * i] + 1, F.greatest(F.coalesce(F.get(edges, 2 * i + 1), F.char_length(text)) - edges[2 * i], F.lit(0))))
     text = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(kept, ""))
     return rows.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
+#: Kinds of bytes: 0 in a word, 1 between words, 2 between units.
+SENTENCE = np.zeros(256, np.uint8)
+SENTENCE[list(b" \t\x0b\x0c\r")] = 1
+SENTENCE[list(b".!?\n")] = 2
+STOP = np.zeros(256, bool)
+STOP[list(b".!?")] = True
+#: The inverse of powers' base modulo 2**64.
+INVERSE = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
+RUN = "doc_id long, d long, h long, first int, digest string, begin array<int>, finish array<int>"
+
+
+class Runs:
+    """Runs of neighbouring units of a chunk: from each unit on, and up to each unit, the shortest one of `least` words or more. Units are pieces between line breaks and ends of
+    sentences that hold a word."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, least: int):
+        p = self.parse = Parse(data, offs, SENTENCE)
+        a = self.a = np.flatnonzero(p.first)                      # first word of each unit, and the word after its last
+        b = self.b = np.append(a[1:], len(p.start))
+        row = self.row = p.row[a]
+        n, unit = len(a), np.arange(len(a))
+        self.head = np.searchsorted(row, row)                     # first unit of the row
+        on = np.searchsorted(b, a + least)
+        ok = on < n
+        ok[ok] = row[on[ok]] == row[ok]
+        back = np.searchsorted(a, b - least, "right") - 1
+        good = back >= self.head
+        pair = np.unique(np.concatenate([unit[ok] * n + on[ok], back[good] * n + unit[good]])) if n else unit
+        self.first, self.last = pair // max(n, 1), pair % max(n, 1)
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each run's words."""
+        p = self.parse
+        m = len(p.hash)
+        sums = np.append(U64(0), np.add.accumulate(p.hash * powers(m)[:m])) if m else np.zeros(1, U64)
+        inverse = np.full(max(m, 1), INVERSE)
+        inverse[0] = 1
+        inverse = np.multiply.accumulate(inverse)
+        a, b = self.a[self.first], self.b[self.last]
+        return scramble((sums[b] - sums[a]) * inverse[a] + (b - a).astype(U64)) if len(a) else np.zeros(0, U64)
+
+
+def _hashes(least: int):
+    """Hashes of the runs of a batch and how often they occur there."""
+    def run(batches):
+        for batch in batches:
+            found = [Runs(data, offs, least).hashes() for _, _, data, offs in chunks(batch.column("text"), 1 << 20)]
+            g, n = np.unique(np.concatenate(found or [np.zeros(0, U64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
+    return run
+
+
+def _runs(bits, least: int):
+    """Runs whose hash passes the bitmap, with their words and the characters of their units."""
+    def run(batches):
+        for batch in batches:
+            for i, _, data, offs in chunks(batch.column("text"), 1 << 20):
+                r = Runs(data, offs, least)
+                pick = np.flatnonzero(passes(r.hashes(), bits.value))
+                if not len(pick):
+                    continue
+                p, first, last = r.parse, r.first[pick], r.last[pick]
+                char = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+                stop = np.append(STOP[data], False)
+                stops = np.append(np.flatnonzero(~stop), len(data))
+                end = stops[np.searchsorted(stops, p.end[r.b - 1])]                        # the marks that end a sentence go with it
+                end = np.minimum(end, offs[r.row + 1])
+                begin, finish = (char[x] - char[offs[r.row]] for x in (p.start[r.a], end))
+                size = last - first + 1
+                unit = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                cut, own = pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(i + r.row[first])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("doc_id", "d", "h")], pa.array((first - r.head[first]).astype(np.int32)), p.text(r.a[first], r.b[last]),
+                                                  *[pa.ListArray.from_arrays(cut, pa.array(x[unit].astype(np.int32))) for x in (begin, finish)]], names=[c.split()[0] for c in RUN.split(", ")])
+    return run
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
+    """One row per unit of `docs` (doc_id, text) to remove: doc_id, unit_no, start, end (characters of the original text, end exclusive, marks that end a sentence included),
+    keep_doc_id and keep_unit_no (where the earliest run that it repeats begins), copies (occurrences of the most frequent such run), and h, a hash of id and text.
+
+    Units are pieces between line breaks and `.`, `!` or `?` that hold a word; words are compared with A-Z in lower case, whatever stands between them. A run is the shortest one of neighbours from a unit on, or up
+    to one, of `min_words` words or more. Runs of equal words repeat each other; a unit goes if it is in such a run that isn't the earliest (by doc_id, then unit) and in none that is. Passages of
+    fewer words stay, as do parts of units. Null text has no unit; a null doc_id ranks first; rows with one doc_id and one text are one document and don't repeat each other; other
+    columns are ignored; an empty table gives no row. Only runs whose hash is found twice are shuffled.
+    """
+    text, key, least = F.col("text").cast("string"), F.col("doc_id").cast("long"), max(1, min_words)
+    docs = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(-2 ** 63)).alias("d"), F.xxhash64(key, text).alias("h"), text.alias("text"))
+    twice = docs.select("text").mapInArrow(_hashes(least), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(stored(twice)))
+    runs = stored(docs.mapInArrow(_runs(bits, least), RUN).withColumn("digest", F.unhex(F.md5("digest"))))
+    place = F.struct("d", "h", "first", "doc_id")
+    seen = stored(runs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("keep"), F.max(place).alias("late")).where("keep.d != late.d or keep.h != late.h or keep.first != late.first").drop("late"))
+    met = runs.join(seen, "digest").withColumn("kept", (F.col("d") == F.col("keep.d")) & (F.col("h") == F.col("keep.h")) & (F.col("first") == F.col("keep.first")))
+    units = met.select("doc_id", "d", "h", "first", "kept", "keep", "copies", F.posexplode(F.arrays_zip("begin", "finish")).alias("k", "at"))
+    again = lambda c: F.when(~F.col("kept"), F.col(c))
+    units = units.groupBy("doc_id", "d", "h", (F.col("first") + F.col("k")).alias("unit_no")).agg(
+        F.max("kept").alias("kept"), F.min(again("keep")).alias("keep"), F.max(again("copies")).alias("copies"), F.min("at").alias("at")).where("not kept")
+    return units.select("doc_id", "unit_no", F.col("at.begin").alias("start"), F.col("at.finish").alias("end"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.first").alias("keep_unit_no"), "copies", "h")
+
+
 #: DuckDB text of the query's rows.
-UNITS_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
-l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
-o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i) - length(line) - 1 AS off,
-             trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l),
-u AS (SELECT * FROM o WHERE len(string_split(norm, ' ')) >= 15),
-g AS (SELECT *, count(*) OVER (PARTITION BY norm) AS copies, first_value(doc_id) OVER w AS keep_doc_id, first_value(i) OVER w AS keep_i,
-             row_number() OVER w AS k FROM u WINDOW w AS (PARTITION BY norm ORDER BY doc_id, i))
-SELECT doc_id, CAST(i - 1 AS INTEGER) AS unit_no, CAST(off AS INTEGER) AS "start", CAST(off + length(line) AS INTEGER) AS "end",
-       keep_doc_id, CAST(keep_i - 1 AS INTEGER) AS keep_unit_no, copies
-FROM g WHERE k > 1
+RUNS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^.!?\n]+|[.!?\n]+') AS t FROM documents WHERE text IS NOT NULL),
+t AS (SELECT r, doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM d),
+o AS (SELECT *, sum(length(tok)) OVER w - length(tok) AS off, lead(tok) OVER w AS next FROM t WINDOW w AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT *, trim(regexp_replace(translate(tok, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM o WHERE regexp_matches(tok, '^[^.!?\n]')),
+u AS (SELECT r, doc_id, norm, len(string_split(norm, ' ')) AS c, row_number() OVER (PARTITION BY r ORDER BY i) - 1 AS k, off + length(regexp_extract(tok, '^[\x20\x09-\x0D]*')) AS "start",
+             off + length(tok) - length(regexp_extract(tok, '[\x20\x09-\x0D]*$')) + CASE WHEN regexp_matches(tok, '[\x20\x09-\x0D]$') THEN 0 ELSE length(regexp_extract(coalesce(next, ''), '^[.!?]*')) END AS "end"
+      FROM n WHERE norm != ''),
+s AS (SELECT *, sum(c) OVER (PARTITION BY r ORDER BY k) AS b, sum(c) OVER (PARTITION BY r ORDER BY k) - c AS a FROM u),
+p AS (SELECT x.r, x.k AS i, min(y.k) AS j FROM s x JOIN s y ON x.r = y.r AND y.k BETWEEN x.k AND x.k + 24 AND y.b - x.a >= 25 GROUP BY 1, 2
+      UNION SELECT y.r, max(x.k), y.k FROM s x JOIN s y ON x.r = y.r AND y.k BETWEEN x.k AND x.k + 24 AND y.b - x.a >= 25 GROUP BY y.r, y.k),
+w AS (SELECT p.r, any_value(doc_id) AS doc_id, i, j, string_agg(norm, ' ' ORDER BY k) AS words FROM p JOIN s ON s.r = p.r AND s.k BETWEEN i AND j GROUP BY p.r, i, j),
+g AS (SELECT *, count(*) OVER (PARTITION BY words) AS copies, first_value(doc_id) OVER q AS keep_doc_id, first_value(i) OVER q AS keep_i, row_number() OVER q AS no FROM w WINDOW q AS (PARTITION BY words ORDER BY doc_id, i)),
+e AS (SELECT s.r, s.k, max(CASE WHEN no = 1 THEN 1 ELSE 0 END) AS kept, min(CASE WHEN no > 1 THEN keep_doc_id END) AS keep_doc_id, max(CASE WHEN no > 1 THEN copies END) AS copies
+      FROM g JOIN s ON s.r = g.r AND s.k BETWEEN i AND j WHERE copies > 1 GROUP BY s.r, s.k),
+f AS (SELECT e.r, e.k, min(keep_i) AS keep_i FROM e JOIN g ON g.r = e.r AND e.k BETWEEN g.i AND g.j AND g.copies > 1 AND g.no > 1 AND g.keep_doc_id = e.keep_doc_id WHERE e.kept = 0 GROUP BY e.r, e.k)
+SELECT s.doc_id, CAST(s.k AS INTEGER) AS unit_no, CAST(s."start" AS INTEGER) AS "start", CAST(s."end" AS INTEGER) AS "end", e.keep_doc_id, CAST(f.keep_i AS INTEGER) AS keep_unit_no, e.copies
+FROM e JOIN f ON f.r = e.r AND f.k = e.k JOIN s ON s.r = e.r AND s.k = e.k
 """
