@@ -57,9 +57,9 @@ def bitmap(grams: DataFrame) -> np.ndarray:
     """BITS bits with two set for each hash in column g; what comes to the driver has this fixed size at most."""
     place = F.explode(F.array(F.col("g").bitwiseAND(BITS - 1), F.shiftrightunsigned("g", 32).bitwiseAND(BITS - 1)))
     rows = grams.select(place.alias("p")).groupBy(F.shiftright("p", 5).alias("slot")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toPandas()
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits")).toArrow()
     out = np.zeros(BITS // 32, np.uint32)
-    out[rows["slot"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    out[rows["slot"].to_numpy().astype(np.int64)] = rows["bits"].to_numpy().astype(np.uint32)
     return out
 
 

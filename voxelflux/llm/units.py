@@ -83,7 +83,9 @@ STOP = np.zeros(256, bool)
 STOP[list(b".!?")] = True
 #: The inverse of powers' base modulo 2**64.
 INVERSE = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-RUN = "doc_id long, d long, h long, first int, digest string, begin array<int>, finish array<int>"
+#: Stands for a null doc_id while rows are ordered.
+NO_ID = -2 ** 63
+RUN = "d long, h long, first int, digest string, begin array<int>, finish array<int>"
 
 
 class Runs:
@@ -146,14 +148,14 @@ def _runs(bits, least: int):
                 size = last - first + 1
                 unit = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 cut, own = pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(i + r.row[first])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("doc_id", "d", "h")], pa.array((first - r.head[first]).astype(np.int32)), p.text(r.a[first], r.b[last]),
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("d", "h")], pa.array((first - r.head[first]).astype(np.int32)), p.text(r.a[first], r.b[last]),
                                                   *[pa.ListArray.from_arrays(cut, pa.array(x[unit].astype(np.int32))) for x in (begin, finish)]], names=[c.split()[0] for c in RUN.split(", ")])
     return run
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
     """One row per unit of `docs` (doc_id, text) to remove: doc_id, unit_no, start, end (characters of the original text, end exclusive, marks that end a sentence included),
-    keep_doc_id and keep_unit_no (where the earliest run that it repeats begins), copies (occurrences of the most frequent such run), and h, a hash of id and text.
+    keep_doc_id (of the earliest run that it repeats), copies (occurrences of the most frequent such run), and h, a hash of id and text.
 
     Units are pieces between line breaks and `.`, `!` or `?` that hold a word; words are compared with A-Z in lower case, whatever stands between them. A run is the shortest one of neighbours from a unit on, or up
     to one, of `min_words` words or more. Runs of equal words repeat each other; a unit goes if it is in such a run that isn't the earliest (by doc_id, then unit) and in none that is. Passages of
@@ -161,18 +163,19 @@ def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
     columns are ignored; an empty table gives no row. Only runs whose hash is found twice are shuffled.
     """
     text, key, least = F.col("text").cast("string"), F.col("doc_id").cast("long"), max(1, min_words)
-    docs = docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(-2 ** 63)).alias("d"), F.xxhash64(key, text).alias("h"), text.alias("text"))
+    docs = docs.select(F.coalesce(key, F.lit(NO_ID)).alias("d"), F.xxhash64(key, text).alias("h"), text.alias("text"))
     twice = docs.select("text").mapInArrow(_hashes(least), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(stored(twice)))
     runs = stored(docs.mapInArrow(_runs(bits, least), RUN).withColumn("digest", F.unhex(F.md5("digest"))))
-    place = F.struct("d", "h", "first", "doc_id")
-    seen = stored(runs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("keep"), F.max(place).alias("late")).where("keep.d != late.d or keep.h != late.h or keep.first != late.first").drop("late"))
-    met = runs.join(seen, "digest").withColumn("kept", (F.col("d") == F.col("keep.d")) & (F.col("h") == F.col("keep.h")) & (F.col("first") == F.col("keep.first")))
-    units = met.select("doc_id", "d", "h", "first", "kept", "keep", "copies", F.posexplode(F.arrays_zip("begin", "finish")).alias("k", "at"))
+    place = F.struct("d", "h", "first")
+    seen = stored(runs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("keep"), F.max(place).alias("late")).where("keep != late").drop("late"))
+    met = runs.join(seen, "digest").select("d", "h", "first", (place == F.col("keep")).alias("kept"), F.col("keep.d").alias("keep"), "copies", "begin", "finish").repartition("d", "h")
+    units = met.select("d", "h", "first", "kept", "keep", "copies", F.posexplode(F.arrays_zip("begin", "finish")).alias("k", "at"))      # all runs of a document are in one task already
     again = lambda c: F.when(~F.col("kept"), F.col(c))
-    units = units.groupBy("doc_id", "d", "h", (F.col("first") + F.col("k")).alias("unit_no")).agg(
-        F.max("kept").alias("kept"), F.min(again("keep")).alias("keep"), F.max(again("copies")).alias("copies"), F.min("at").alias("at")).where("not kept")
-    return units.select("doc_id", "unit_no", F.col("at.begin").alias("start"), F.col("at.finish").alias("end"), F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.first").alias("keep_unit_no"), "copies", "h")
+    units = units.groupBy("d", "h", (F.col("first") + F.col("k")).alias("unit_no")).agg(
+        F.max("kept").alias("kept"), F.min(again("keep")).alias("keep"), F.max(again("copies")).alias("copies"), F.min("at.begin").alias("start"), F.min("at.finish").alias("end")).where("not kept")
+    id_of = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+    return units.select(id_of("d").alias("doc_id"), "unit_no", "start", "end", id_of("keep").alias("keep_doc_id"), "copies", "h")
 
 
 #: DuckDB text of the query's rows.
@@ -190,8 +193,7 @@ p AS (SELECT x.r, x.k AS i, min(y.k) AS j FROM s x JOIN s y ON x.r = y.r AND y.k
 w AS (SELECT p.r, any_value(doc_id) AS doc_id, i, j, string_agg(norm, ' ' ORDER BY k) AS words FROM p JOIN s ON s.r = p.r AND s.k BETWEEN i AND j GROUP BY p.r, i, j),
 g AS (SELECT *, count(*) OVER (PARTITION BY words) AS copies, first_value(doc_id) OVER q AS keep_doc_id, first_value(i) OVER q AS keep_i, row_number() OVER q AS no FROM w WINDOW q AS (PARTITION BY words ORDER BY doc_id, i)),
 e AS (SELECT s.r, s.k, max(CASE WHEN no = 1 THEN 1 ELSE 0 END) AS kept, min(CASE WHEN no > 1 THEN keep_doc_id END) AS keep_doc_id, max(CASE WHEN no > 1 THEN copies END) AS copies
-      FROM g JOIN s ON s.r = g.r AND s.k BETWEEN i AND j WHERE copies > 1 GROUP BY s.r, s.k),
-f AS (SELECT e.r, e.k, min(keep_i) AS keep_i FROM e JOIN g ON g.r = e.r AND e.k BETWEEN g.i AND g.j AND g.copies > 1 AND g.no > 1 AND g.keep_doc_id = e.keep_doc_id WHERE e.kept = 0 GROUP BY e.r, e.k)
-SELECT s.doc_id, CAST(s.k AS INTEGER) AS unit_no, CAST(s."start" AS INTEGER) AS "start", CAST(s."end" AS INTEGER) AS "end", e.keep_doc_id, CAST(f.keep_i AS INTEGER) AS keep_unit_no, e.copies
-FROM e JOIN f ON f.r = e.r AND f.k = e.k JOIN s ON s.r = e.r AND s.k = e.k
+      FROM g JOIN s ON s.r = g.r AND s.k BETWEEN i AND j WHERE copies > 1 GROUP BY s.r, s.k)
+SELECT s.doc_id, CAST(s.k AS INTEGER) AS unit_no, CAST(s."start" AS INTEGER) AS "start", CAST(s."end" AS INTEGER) AS "end", e.keep_doc_id, e.copies
+FROM e JOIN s ON s.r = e.r AND s.k = e.k WHERE e.kept = 0
 """
