@@ -25,7 +25,7 @@ def query(name, oracle=None):
 
 @query("op2_suffix_dedup")
 def op2_suffix_dedup(spark, sf_dir):
-    return repeated_bytes(table(spark, sf_dir, "documents"), length=400)
+    return repeated_bytes(table(spark, sf_dir, "documents"), length=400).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 @query("op3_simhash")

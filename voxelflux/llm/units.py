@@ -85,7 +85,7 @@ STOP[list(b".!?")] = True
 INVERSE = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 #: Stands for a null doc_id while rows are ordered.
 NO_ID = -2 ** 63
-RUN = "d long, h long, first int, digest string, begin array<int>, finish array<int>"
+RUN = "d long, h long, first array<int>, size array<int>, digest array<string>, unit array<int>, begin array<int>, finish array<int>"
 
 
 class Runs:
@@ -130,7 +130,7 @@ def _hashes(least: int):
 
 
 def _runs(bits, least: int):
-    """Runs whose hash passes the bitmap, with their words and the characters of their units."""
+    """For each document its runs whose hash passes the bitmap (first unit, number of units, words), and its units in such runs with their characters."""
     def run(batches):
         for batch in batches:
             for i, _, data, offs in chunks(batch.column("text"), 1 << 20):
@@ -145,11 +145,14 @@ def _runs(bits, least: int):
                 end = stops[np.searchsorted(stops, p.end[r.b - 1])]                        # the marks that end a sentence go with it
                 end = np.minimum(end, offs[r.row + 1])
                 begin, finish = (char[x] - char[offs[r.row]] for x in (p.start[r.a], end))
-                size = last - first + 1
-                unit = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                cut, own = pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(i + r.row[first])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("d", "h")], pa.array((first - r.head[first]).astype(np.int32)), p.text(r.a[first], r.b[last]),
-                                                  *[pa.ListArray.from_arrays(cut, pa.array(x[unit].astype(np.int32))) for x in (begin, finish)]], names=[c.split()[0] for c in RUN.split(", ")])
+                size, n = last - first + 1, len(r.a)
+                depth = np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1))
+                unit = np.flatnonzero(depth[:n] > 0)
+                rows = np.unique(r.row[first])
+                lists = lambda own, x: pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(own, rows), len(own)), pa.int32()), x if isinstance(x, pa.Array) else pa.array(x.astype(np.int32)))
+                own, has = r.row[first], r.row[unit]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(i + rows)) for c in ("d", "h")], lists(own, first - r.head[first]), lists(own, size), lists(own, p.text(r.a[first], r.b[last])),
+                                                  lists(has, unit - r.head[unit]), lists(has, begin[unit]), lists(has, finish[unit])], names=[c.split()[0] for c in RUN.split(", ")])
     return run
 
 
@@ -166,14 +169,19 @@ def repeated_runs(docs: DataFrame, min_words: int = 25) -> DataFrame:
     docs = docs.select(F.coalesce(key, F.lit(NO_ID)).alias("d"), F.xxhash64(key, text).alias("h"), text.alias("text"))
     twice = docs.select("text").mapInArrow(_hashes(least), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(stored(twice)))
-    runs = stored(docs.mapInArrow(_runs(bits, least), RUN).withColumn("digest", F.unhex(F.md5("digest"))))
+    found = stored(docs.mapInArrow(_runs(bits, least), RUN).withColumn("digest", F.transform("digest", lambda x: F.unhex(F.md5(x)))))
+    runs = found.select("d", "h", F.explode(F.arrays_zip("first", "size", "digest")).alias("x")).select("d", "h", "x.first", "x.size", "x.digest")
     place = F.struct("d", "h", "first")
     seen = stored(runs.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("keep"), F.max(place).alias("late")).where("keep != late").drop("late"))
-    met = runs.join(seen, "digest").select("d", "h", "first", (place == F.col("keep")).alias("kept"), F.col("keep.d").alias("keep"), "copies", "begin", "finish").repartition("d", "h")
-    units = met.select("d", "h", "first", "kept", "keep", "copies", F.posexplode(F.arrays_zip("begin", "finish")).alias("k", "at"))      # all runs of a document are in one task already
+    met = runs.join(seen, "digest").select("d", "h", "first", "size", (place == F.col("keep")).alias("kept"), F.col("keep.d").alias("keep"), "copies")
+    none = lambda kind: F.lit(None).cast(kind)
+    units = found.select("d", "h", F.explode(F.arrays_zip("unit", "begin", "finish")).alias("x"))
+    units = units.select("d", "h", F.col("x.unit").alias("first"), F.lit(1).alias("size"), none("boolean").alias("kept"), none("long").alias("keep"), none("long").alias("copies"), "x.begin", "x.finish")
+    both = units.unionAll(met.withColumns({"begin": none("int"), "finish": none("int")})).repartition("d", "h")       # all that is known of a document meets in one task
+    both = both.withColumn("unit_no", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)))
     again = lambda c: F.when(~F.col("kept"), F.col(c))
-    units = units.groupBy("d", "h", (F.col("first") + F.col("k")).alias("unit_no")).agg(
-        F.max("kept").alias("kept"), F.min(again("keep")).alias("keep"), F.max(again("copies")).alias("copies"), F.min("at.begin").alias("start"), F.min("at.finish").alias("end")).where("not kept")
+    units = both.groupBy("d", "h", "unit_no").agg(F.max("kept").alias("kept"), F.min(again("keep")).alias("keep"), F.max(again("copies")).alias("copies"),
+                                                  F.max("begin").alias("start"), F.max("finish").alias("end")).where("not kept")
     id_of = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     return units.select(id_of("d").alias("doc_id"), "unit_no", "start", "end", id_of("keep").alias("keep_doc_id"), "copies", "h")
 
