@@ -9,7 +9,6 @@ from ..sensor import DAY, DEMO
 from ..session import cut_lineage
 from ..sources.tables import events
 from .q_boxes import CENTRES, IN_BOX, INST, RECT0, TILE, inst, label_tables, rects
-from .q_codec import MAPS, hash_maps
 from .q_ingest import EV, GROUPS, KEYS, keys, r6
 from .q_shift import groups_of
 from .q_trains import span_events
@@ -36,7 +35,7 @@ MOVED = """mv0 AS (SELECT key.*, m, CAST(x AS DOUBLE)+dx+(ia/2.0::DOUBLE)*(x-((b
  (SELECT * FROM mv1 WHERE x >= 0 AND x < 16 AND y >= 0 AND y < 8)"""
 
 CLAIM = """tg AS (SELECT k.rec, k.w AS g, ev.w - k.w AS m, tr, x, y, p FROM keys k JOIN ev ON ev.rec = k.rec AND ev.w > k.w AND ev.w <= k.w+3), ord AS (SELECT
- rec, g, block, row_number() OVER (PARTITION BY rec, g ORDER BY n_key DESC, block) AS rk FROM kb), cells(s,k) AS (VALUES (2::BIGINT,3::BIGINT),(1,3)), cm
+ rec, g, block, row_number() OVER (PARTITION BY rec, g ORDER BY n_key DESC, block) AS rk FROM kb), cells(s,k) AS (VALUES (2::BIGINT,3::BIGINT),(1,3),(1,12),(1,32)), cm
  AS (SELECT s, k, rec, g, m, block, p, least(k-1, tr*k//86400000000) AS tb, y//s AS by, x//s AS bx, count(*) AS c FROM mv, cells GROUP BY ALL), ct AS
  (SELECT s, k, rec, g, m, p, least(k-1, tr*k//86400000000) AS tb, y//s AS by, x//s AS bx, count(*) AS ct FROM tg, cells GROUP BY ALL), cs AS (SELECT
  cm.*, coalesce(ct,0) AS ct, sum(c) OVER (PARTITION BY s, k, cm.rec, cm.g, cm.m, p, tb, by, bx ORDER BY rk) AS ss FROM cm LEFT JOIN ct USING (s, k, rec,
@@ -44,14 +43,6 @@ CLAIM = """tg AS (SELECT k.rec, k.w AS g, ev.w - k.w AS m, tr, x, y, p FROM keys
  least(ss-c,ct)) AS BIGINT) AS got FROM cs GROUP BY ALL)"""
 
 
-@query("w15_claims", f"WITH {EV}, {KEYS}, {MAPS}, {KEYEV}, {MOVED}, {CLAIM} SELECT s, k, rec, g, m, block, n_in, got FROM cl")
-def w15(spark, d):
-    ev = events(spark, d)
-    true = Ft.group_targets(ev, keys(ev), 4)
-    c = Rg.block_claims(key_of(ev), true, hash_maps(spark, d), DEMO, [(2, 3), (1, 3)])
-    return c.select("s", "k", "rec", "g", "m", "block", "n_in", "got")
-
-
 R9 = 6
 FIT = f"""tgv AS (SELECT k.rec, k.w AS g, ev.w - k.w AS m, p, least(2, tr*3//86400000000) AS tb, y//2 AS by, x//2 AS bx, count(*) AS c FROM keys k JOIN ev ON
  ev.rec = k.rec AND ev.w > k.w AND ev.w <= k.w+3 GROUP BY ALL), kpx AS (SELECT rec, g, block, x, y, p, least(2, tr*3//86400000000) AS tb, count(*) AS c
@@ -68,6 +59,16 @@ def fitted(ev):
     return key, Ft.block_maps(key, ev, keys(ev), DEMO, 4, R9)
 
 
+@query("w15_claims", f"""WITH {EV}, {KEYS}, {KEYEV}, {FIT}, maps AS (SELECT rec, g, m, block, dx, dy, 0 AS ia, 0 AS ib, 0 AS ic, 0 AS id FROM fmaps), {MOVED}, {CLAIM}
+ SELECT s, k, rec, g, m, block, n_in, got FROM cl""")
+def w15(spark, d):
+    ev = events(spark, d)
+    key, maps = fitted(ev)
+    true = Ft.group_targets(ev, keys(ev), 4)
+    c = Rg.block_claims(key, true, maps, DEMO, [(2, 3), (1, 3), (1, 12), (1, 32)])
+    return c.select("s", "k", "rec", "g", "m", "block", "n_in", "got")
+
+
 @query("m9_block_maps", f"WITH {EV}, {KEYS}, {KEYEV}, {FIT} SELECT rec, g, m, block, dx, dy FROM fmaps")
 def m9(spark, d):
     return fitted(events(spark, d))[1].select("rec", "g", "m", "block", "dx", "dy")
@@ -139,20 +140,27 @@ def m20(spark, d):
     return facts(spark, d).withColumns({c: r6(c) for c in ("speed", "both_polarity", "covered")})
 
 
-@query("a34_region_tables", f"""WITH {BOXES}, {KEYS}, {FACTS} SELECT touch, count(*) AS n_blocks, round(avg(CASE WHEN static THEN 1 ELSE 0 END),6) AS static_share,
- round(median(speed),6) AS speed, round(median(both_polarity),6) AS both_polarity, round(median(n_key),6) AS n_key, round(count(tau)/count(*),6) AS
- share_tau, round(median(covered),6) AS covered, round(median(tau),3) AS tau FROM facts GROUP BY touch""")
+A34 = """count(*) AS n_blocks, round(avg(CASE WHEN static THEN 1 ELSE 0 END),6) AS static_share, round(median(speed),6) AS speed, round(median(both_polarity),6) AS both_polarity,
+ round(median(n_key),6) AS n_key, round(count(tau)/count(*),6) AS share_tau, round(median(covered),6) AS covered, round(median(tau),3) AS tau FROM facts"""
+
+
+@query("a34_region_tables", f"WITH {BOXES}, {KEYS}, {FACTS} SELECT touch, {A34} GROUP BY touch")
 def a34(spark, d):
-    return region_table(facts(spark, d))
+    return region_table(facts(spark, d), ["touch"])
+
+
+@query("a34_region_recordings", f"WITH {BOXES}, {KEYS}, {FACTS} SELECT rec, touch, {A34} GROUP BY rec, touch")
+def a34_recordings(spark, d):
+    return region_table(facts(spark, d), ["rec", "touch"])
 
 
-def region_table(f):
+def region_table(f, keys):
     f = cut_lineage(f)
-    m = medians(f.withColumn("n_key", F.col("n_key").cast("double")), ["touch"], ["speed", "both_polarity", "n_key", "covered", "tau"])
-    a = f.groupBy("touch").agg(F.count(F.lit(1)).alias("n_blocks"), r6(F.avg(F.col("static").cast("double")), "static_share"),
-                               r6(F.count("tau") / F.count(F.lit(1)), "share_tau"))
-    return a.join(m, "touch").select("touch", "n_blocks", "static_share", *[r6(c, c) for c in ("speed", "both_polarity", "n_key")],
-                                     "share_tau", r6("covered", "covered"), F.round("tau", 3).alias("tau"))
+    m = medians(f.withColumn("n_key", F.col("n_key").cast("double")), keys, ["speed", "both_polarity", "n_key", "covered", "tau"])
+    a = f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_blocks"), r6(F.avg(F.col("static").cast("double")), "static_share"),
+                             r6(F.count("tau") / F.count(F.lit(1)), "share_tau"))
+    return a.join(m, keys).select(*keys, "n_blocks", "static_share", *[r6(c, c) for c in ("speed", "both_polarity", "n_key")],
+                                  "share_tau", r6("covered", "covered"), F.round("tau", 3).alias("tau"))
 
 
 # ---- regeneration and aligned motion of labelled objects
