@@ -36,37 +36,39 @@ def block_maps(key: DataFrame, ev: DataFrame, ks: DataFrame, sensor: Sensor, K:
                         z.alias("ic"), z.alias("id"))
 
 
-def coordinate_search(src: DataFrame, tru: DataFrame, start: DataFrame, keys, true_keys, sensor: Sensor, cell=(2, 3), rounds=None,
-                      offsets=OFFSETS) -> DataFrame:
-    """Improve maps `start` (keys, PARAMS, cx, cy, hx, hy, x0, x1, y0, y1) by steps along MOVES.
-
-    `src` has the keys, tr, x, y, p; `tru` has `true_keys` (a subset of the keys), tr, x, y, p and is restricted by the caller.
-    A round scores every candidate of every key at once and takes the best; a candidate must beat the current map, ties go
-    to the earlier candidate. The score is F1 within the bounds. Rounds end when no key moves any more (a score only grows, so they do),
-    or after `rounds`."""
-    keys, true_keys = list(keys), list(true_keys)
+def search_tables(src: DataFrame, tru: DataFrame, src_keys, true_keys, sensor: Sensor, cell=(2, 3)):
+    """(pixel counts of the source, voxel counts of the truth, their sums, block side): what `candidate_scores` compares. Cut, as every step reads them."""
     s, k = cell
     vox = {"tb": time_bin("tr", k, sensor.t0), "by": F.floor(F.col("y") / s), "bx": F.floor(F.col("x") / s)}
-    t = tru.withColumns(vox).groupBy(*true_keys, "p", "tb", "by", "bx").agg(F.count(F.lit(1)).alias("c2"))
-    nt = t.groupBy(*true_keys).agg(F.sum("c2").alias("nt"))
-    t, nt = cut_lineage(t), cut_lineage(nt)
-    pix = src.groupBy(*keys, "x", "y", "p", time_bin("tr", k, sensor.t0).alias("tb")).agg(F.count(F.lit(1)).alias("c"))
-    pix = cut_lineage(pix)
+    t = cut_lineage(tru.withColumns(vox).groupBy(*true_keys, "p", "tb", "by", "bx").agg(F.count(F.lit(1)).alias("c2")))
+    nt = cut_lineage(t.groupBy(*true_keys).agg(F.sum("c2").alias("nt")))
+    pix = src.groupBy(*src_keys, "x", "y", "p", time_bin("tr", k, sensor.t0).alias("tb")).agg(F.count(F.lit(1)).alias("c"))
+    return cut_lineage(pix), t, nt, s
+
+
+def candidate_scores(tables, c: DataFrame, keys, true_keys, src_keys) -> DataFrame:
+    """(keys, _i, np, pairs, f1) of candidate maps `c` (keys, _i, PARAMS, frame, bounds); one that moves no event into its bounds is absent."""
+    pix, t, nt, s = tables
+    j = pix.join(c, list(src_keys))
+    x, y = move_affine("x", "y", "cx", "cy", "hx", "hy", PARAMS)
+    j = j.withColumns({"x": x, "y": y}).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    v = j.withColumns({"by": F.floor(F.col("y") / s), "bx": F.floor(F.col("x") / s)}).groupBy(*keys, "_i", "p", "tb", "by", "bx").agg(
+        F.sum("c").alias("c1"))
+    m = v.join(t, [*true_keys, "p", "tb", "by", "bx"], "left").groupBy(*keys, "_i").agg(
+        F.sum("c1").alias("np"), F.sum(F.least("c1", F.coalesce("c2", F.lit(0)))).alias("pairs"))
+    return m.join(nt, list(true_keys), "left").withColumn("f1", ratio0(F.col("pairs") * 2.0, F.col("np") + F.coalesce("nt", F.lit(0))))
+
+
+def climb(tables, cur: DataFrame, keys, true_keys, src_keys, rounds=None, offsets=OFFSETS) -> DataFrame:
+    """Steps of `coordinate_search` over prepared tables. A key that doesn't move is done: later rounds hold the keys that still move."""
     steps = [(0,) * 6] + [tuple(v * o for v in mv) for mv in MOVES for o in offsets]
     cand = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(v).alias("d" + n) for n, v in zip(PARAMS, st)])
                                for i, st in enumerate(steps)])).alias("_s")
-    cur, left = start, rounds
+    left, done = rounds, None
     while left is None or left > 0:
         c = cur.select("*", cand)
-        c = c.withColumns({n: F.col(n) + F.col(f"_s.d{n}") for n in PARAMS}).withColumn("_i", F.col("_s.i")).drop("_s")
-        j = pix.join(c, keys)
-        x, y = move_affine("x", "y", "cx", "cy", "hx", "hy", PARAMS)
-        j = j.withColumns({"x": x, "y": y}).filter(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-        v = j.withColumns({"by": F.floor(F.col("y") / s), "bx": F.floor(F.col("x") / s)}).groupBy(*keys, "_i", "p", "tb", "by", "bx").agg(
-            F.sum("c").alias("c1"))
-        m = v.join(t, [*true_keys, "p", "tb", "by", "bx"], "left").groupBy(*keys, "_i").agg(
-            F.sum("c1").alias("np"), F.sum(F.least("c1", F.coalesce("c2", F.lit(0)))).alias("pairs"))
-        m = m.join(nt, true_keys, "left").withColumn("f1", ratio0(F.col("pairs") * 2.0, F.col("np") + F.coalesce("nt", F.lit(0))))
+        c = c.withColumns({n: F.col(n) + F.col(f"_s.d{n}") for n in PARAMS}).withColumn("_i", F.col("_s.i")).drop("_s", "f1", "pairs", "np")
+        m = candidate_scores(tables, c, keys, true_keys, src_keys)
         best = m.groupBy(*keys).agg(F.max_by(F.struct("_i", "f1", "pairs", "np"), F.struct(F.col("f1"), -F.col("_i"))).alias("_b"))
         keep = [n for n in cur.columns if n not in (*PARAMS, "f1", "pairs", "np")]
         d = F.array(*[F.array(*[F.lit(v) for v in st]) for st in steps])
@@ -76,11 +78,79 @@ def coordinate_search(src: DataFrame, tru: DataFrame, start: DataFrame, keys, tr
             F.coalesce("_b.f1", F.lit(0.0)).alias("f1"), F.coalesce("_b.pairs", F.lit(0)).alias("pairs"),
             F.coalesce("_b.np", F.lit(0)).alias("np"), (F.coalesce(F.col("_b._i"), F.lit(0)) > 0).alias("_moved"))
         cur = cut_lineage(cur)
-        moved, cur = cur.filter("_moved").limit(1).count(), cur.drop("_moved")
-        if not moved:
-            break
+        stay, cur = cur.filter("NOT _moved").drop("_moved"), cur.filter("_moved").drop("_moved")
+        done = stay if done is None else done.unionByName(stay)
+        if cur.isEmpty():
+            return done
         left = None if left is None else left - 1
-    return cur
+    return cur if done is None else done.unionByName(cur)
+
+
+def coordinate_search(src: DataFrame, tru: DataFrame, start: DataFrame, keys, true_keys, sensor: Sensor, cell=(2, 3), rounds=None,
+                      offsets=OFFSETS) -> DataFrame:
+    """Improve maps `start` (keys, PARAMS, cx, cy, hx, hy, x0, x1, y0, y1) by steps along MOVES.
+
+    `src` has the keys, tr, x, y, p; `tru` has `true_keys` (a subset of the keys), tr, x, y, p and is restricted by the caller.
+    A round scores every candidate of every key at once and takes the best; a candidate must beat the current map, ties go
+    to the earlier candidate. The score is F1 within the bounds. Rounds end when no key moves any more (a score only grows, so they do),
+    or after `rounds`."""
+    keys, true_keys = list(keys), list(true_keys)
+    return climb(search_tables(src, tru, keys, true_keys, sensor, cell), start, keys, true_keys, keys, rounds, offsets)
+
+
+# fixed values: grid cell and offsets of each stage, from coarse to fine; the last cell is the one that is judged
+STAGES = (((8, 1), (-2, 2, -4, 4, -8, 8)), ((4, 1), (-1, 1, -2, 2, -4, 4)), ((2, 3), (-1, 1, -2, 2)))
+
+
+def best_option(tables, options: DataFrame, keys, true_keys, src_keys) -> DataFrame:
+    """The best map of each key among a few (rows told apart by `_i`), with np, pairs and f1; ties go to the least `_i`."""
+    options = options.drop("np", "pairs", "f1")
+    sc = candidate_scores(tables, options, keys, true_keys, src_keys).select(*keys, "_i", "np", "pairs", "f1")
+    o = options.join(sc, [*keys, "_i"], "left").na.fill(0, ["np", "pairs", "f1"])
+    rest = [c for c in o.columns if c not in keys]
+    b = o.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col("f1"), -F.col("_i"))).alias("_b"))
+    return b.select(*keys, *[f"_b.{c}" for c in rest])
+
+
+def staged_affine(src: DataFrame, tru: DataFrame, start: DataFrame, group, shift, sensor: Sensor, stages=STAGES) -> DataFrame:
+    """Affine maps of the targets m = 1, 2, ... of each group, by coordinate searches from coarse to fine.
+
+    `src` (group, tr, x, y, p) is shared by the targets, `tru` has (group, m, tr, x, y, p), `start` (group, m, PARAMS, frame, bounds) the translation of
+    each target with no shape, `shift` is a Column over m: the time by which a target's events move. A search begins at the better of two maps: the translation,
+    and the translation with the shape fitted for m - 1 scaled by the ratio of the shifts (the translation on a tie, and where m - 1 is absent). A result
+    that does not beat the translation on the last stage's cell is dropped for it, so no target ends below it. Returns `start` with fitted
+    PARAMS, np, pairs, f1 and start_f1.
+
+    Targets are not searched one after the other: all are fitted at once, then those whose beginning differs now that m - 1 is known are fitted again,
+    until none differs. A beginning depends on m - 1 only, so this ends after at most as many sweeps as there are targets, with the maps of the ordered
+    search; later sweeps hold the rows that changed."""
+    group = list(group)
+    keys = [*group, "m"]
+    tabs = [search_tables(src, tru, group, keys, sensor, cell) for cell, _ in stages]
+    goal = tabs[-1]
+    start = cut_lineage(start)
+    plain = start.withColumn("_i", F.lit(0))
+    top = cut_lineage(best_option(goal, plain, keys, keys, group).select(*keys, F.col("f1").alias("start_f1")))
+    begin, todo, fits = start.select(*keys, *PARAMS), start, None
+    while True:
+        q = todo
+        for tab, (_, offsets) in zip(tabs, stages):
+            q = climb(tab, q, keys, keys, group, offsets=offsets)
+        both = plain.join(todo.select(*keys), keys, "left_semi").unionByName(q.drop("np", "pairs", "f1").withColumn("_i", F.lit(1)))
+        q = best_option(goal, both, keys, keys, group).drop("_i")
+        fits = cut_lineage(q if fits is None else q.unionByName(fits.join(todo.select(*keys), keys, "left_anti")))
+        ratio = shift / F.col("_shift")
+        last = fits.select(*group, (F.col("m") + 1).alias("m"), shift.alias("_shift"), *[F.col(n).alias("_" + n) for n in PARAMS[2:]])
+        warm = start.join(last, keys).withColumns({n: F.rint(ratio * F.col("_" + n)).cast("bigint") for n in PARAMS[2:]}).select(*start.columns)
+        then = cut_lineage(best_option(goal, plain.unionByName(warm.withColumn("_i", F.lit(1))), keys, keys, group).select(*start.columns))
+        same = F.lit(True)
+        for n in PARAMS:
+            same = same & (F.col(n) == F.col("_old." + n))
+        old = begin.select(*keys, F.struct(*PARAMS).alias("_old"))
+        todo = cut_lineage(then.join(old, keys).filter(~same).select(*start.columns))
+        begin = then.select(*keys, *PARAMS)
+        if todo.isEmpty():
+            return fits.join(top, keys)
 
 
 def variance_velocity(ev: DataFrame, keys, vmax=0.6, coarse=0.1, fine=0.02, margin=20) -> DataFrame:

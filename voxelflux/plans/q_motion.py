@@ -261,34 +261,80 @@ def m6(spark, d):
     return aligned(rows.filter("skip = ''"), src, fut, (2, 0), 3, DEMO)
 
 
-def aligned(ok, src, fut, d0, radius, sensor):
-    s = src.join(ok.select(*Ob.OK, "sx0", "sx1", "sy0", "sy1"), Ob.OK).withColumns(
-        {"_cx": F.lit(d0[0]).cast("bigint"), "_cy": F.lit(d0[1]).cast("bigint")})
-    v = S.voxel_votes(s, fut, Ob.OK, radius, (2, 3), sensor, by_block=(), centre=("_cx", "_cy"), bounds=("sx0", "sx1", "sy0", "sy1"))
-    near = F.abs(F.col("dx") - d0[0]) + F.abs(F.col("dy") - d0[1])
-    b = v.groupBy(*Ob.OK).agg(F.max_by(F.struct("dx", "dy", "score"), F.struct(F.col("score"), -near, -F.col("dy"), -F.col("dx"))).alias("b"))
-    return ok.select(*Ob.OK).join(b, Ob.OK, "left").select(
-        *Ob.OK, F.coalesce("b.dx", F.lit(d0[0])).cast("bigint").alias("dx"), F.coalesce("b.dy", F.lit(d0[1])).cast("bigint").alias("dy"),
+def aligned(ok, src, fut, d0, radius, sensor, keys=Ob.OK):
+    """Best displacement of each key in a square around `d0`, a pair of numbers or of Columns over the keys."""
+    dx0, dy0 = (F.lit(v).cast("bigint") for v in d0)
+    s = src.join(ok.select(*keys, "sx0", "sx1", "sy0", "sy1"), Ob.OK).withColumns({"_cx": dx0, "_cy": dy0})
+    v = S.voxel_votes(s, fut, keys, radius, (2, 3), sensor, by_block=(), centre=("_cx", "_cy"), bounds=("sx0", "sx1", "sy0", "sy1"))
+    near = F.abs(F.col("dx") - dx0) + F.abs(F.col("dy") - dy0)
+    b = v.groupBy(*keys).agg(F.max_by(F.struct("dx", "dy", "score"), F.struct(F.col("score"), -near, -F.col("dy"), -F.col("dx"))).alias("b"))
+    return ok.select(*keys).join(b, list(keys), "left").select(
+        *keys, F.coalesce("b.dx", dx0).cast("bigint").alias("dx"), F.coalesce("b.dy", dy0).cast("bigint").alias("dy"),
         F.coalesce("b.score", F.lit(0)).cast("bigint").alias("pairs"))
 
 
-@query("m7_affine_fit")
-def m7(spark, d):
-    """Affine map of each object from its aligned displacement, by the coordinate search. Rows-only check."""
-    _, rows, src, fut, *_ = object_sets(spark, d)
-    ok = rows.filter("skip = ''")
-    st = aligned(ok, src, fut, (2, 0), 3, DEMO)
+def shapeless(st, src, ok, keys=Ob.OK):
+    """Translations `st` as maps without a shape, with the frame of the source events and the support as bounds."""
     fr = src.groupBy(*Ob.OK).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("e"))
     z = F.lit(0).cast("bigint")
-    start = st.join(fr, Ob.OK).join(ok.select(*Ob.OK, "sx0", "sx1", "sy0", "sy1"), Ob.OK).select(
-        *Ob.OK, "dx", "dy", z.alias("ia"), z.alias("ib"), z.alias("ic"), z.alias("id"), ((F.col("a") + F.col("b")) * 0.5).alias("cx"),
+    return st.join(fr, Ob.OK).join(ok.select(*keys, "sx0", "sx1", "sy0", "sy1"), list(keys)).select(
+        *keys, "dx", "dy", z.alias("ia"), z.alias("ib"), z.alias("ic"), z.alias("id"), ((F.col("a") + F.col("b")) * 0.5).alias("cx"),
         ((F.col("c") + F.col("e")) * 0.5).alias("cy"), F.greatest(F.lit(1.0), (F.col("b") - F.col("a")) * 0.5).alias("hx"),
         F.greatest(F.lit(1.0), (F.col("e") - F.col("c")) * 0.5).alias("hy"), F.col("sx0").alias("x0"), F.col("sx1").alias("x1"),
         F.col("sy0").alias("y0"), F.col("sy1").alias("y1"))
+
+
+@query("m7_affine_fit")
+def m7(spark, d):
+    """Affine map of each object from its aligned displacement, by the coordinate search. Rows-only check."""
+    _, rows, src, fut, *_ = object_sets(spark, d)
+    ok = rows.filter("skip = ''")
+    start = shapeless(aligned(ok, src, fut, (2, 0), 3, DEMO), src, ok)
     q = Ft.coordinate_search(src, fut, start, Ob.OK, Ob.OK, DEMO)
     return q.select(*Ob.OK, "dx", "dy", "ia", "ib", "ic", "id", "np", "pairs", r6("f1", "f1"))
 
 
+TARGETS = 10
+M_KEYS = [*Ob.OK, "m"]
+CELLS12 = [(s, k) for s in (1, 2, 4) for k in (1, 3, 8, 32)]
+
+
+def target_sets(spark, d):
+    """Source, future events and translations of the targets m = 1 .. TARGETS of each instant; target m begins m - 1 days after it."""
+    ev = events(spark, d)
+    _, life, seg = label_tables(spark, d)
+    i = cut_lineage(inst(life))
+    t = i.withColumn("m", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(TARGETS).cast("bigint")))).withColumn("lead", (F.col("m") - 1) * DAY)
+    r = cut_lineage(B.support_rect(t, seg, life, DEMO, 2 * DAY, "lead", DAY, 0.5, 1.0 / DAY))
+    src = cut_lineage(Ob.source_events(ev, i, seg, DEMO, DAY, 0.5, TILE))
+    fut = cut_lineage(Ob.future_events(ev, r, DEMO, "lead", DAY, TILE, M_KEYS))
+    life_ok = (F.col("t_e") - 2 * DAY >= F.col("t_first")) & (F.col("t_e") + F.col("m") * DAY <= F.col("t_last"))
+    ok = cut_lineage(Ob.skip_reason(r, life_ok, src, fut, 3, 3, keys=M_KEYS).filter("skip = ''"))
+    src = src.join(ok.select(*Ob.OK).distinct(), Ob.OK, "left_semi")
+    fut = fut.join(ok.select(*M_KEYS), M_KEYS, "left_semi")
+    start = shapeless(aligned(ok, src, fut, (F.col("m") * int(V_X), 0), 3, DEMO, M_KEYS), src, ok, M_KEYS)
+    return src, fut, start
+
+
+def target_maps(spark, d):
+    src, fut, start = target_sets(spark, d)
+    return src, fut, cut_lineage(start), Ft.staged_affine(src, fut, start, Ob.OK, F.col("m"), DEMO)
+
+
+@query("m7_affine_targets")
+def m7t(spark, d):
+    """Translation and affine map of ten targets of each object on twelve grids, summed over the objects of a recording. Rows-only check."""
+    src, fut, start, q = target_maps(spark, d)
+    maps = start.withColumn("model", F.lit("translation")).unionByName(q.select(*start.columns).withColumn("model", F.lit("affine")))
+    x, y = C.move_affine("x", "y", "cx", "cy", "hx", "hy", Ft.PARAMS)
+    pred = src.join(maps, Ob.OK).withColumns({"x": x, "y": y}).filter("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+    true = fut.withColumn("model", F.explode(F.array(F.lit("translation"), F.lit("affine"))))
+    cols = ["model", *M_KEYS, "tr", "x", "y", "p"]
+    f = V.scores(V.match(pred.select(*cols), true.select(*cols), CELLS12, DEMO, keys=("model", *M_KEYS)))
+    return f.groupBy("model", "rec", "m", "s", "k").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n1").alias("n_pred"), F.sum("n2").alias("n_future"),
+                                                       F.sum("pairs").alias("pairs"), r6(F.avg("f1"), "f1"))
+
+
 @query("m1_sharpness_velocity")
 def m1(spark, d):
     """Velocity of each object (px per day) by template sharpness. Rows-only check."""
