@@ -1,13 +1,15 @@
 """Aggregation over recordings: strata, gates, bootstrap intervals, pooled ratios, rank correlation, decisions.
 
-Rows here are windows, instants or recordings, never events. Bootstrap draws are an integer hash of (replicate, draw), so a
+Rows here are windows, instants or recordings, never events. Bootstrap multiplicities are a hash of (recording, replicate), so a
 recomputed task draws the same sample.
 """
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.cols import idiv, mix, ratio
+from ..functions.cols import idiv, ratio
 from ..session import cut_lineage
-from .scans import running
+from .scans import ranked, running
 
 BOOT_SEED, BOOT_N = 20261016, 2000
 
@@ -70,15 +72,43 @@ def per_recording(rows: DataFrame, keys, medians_of=(), shares=()) -> DataFrame:
     return a.join(medians(rows, keys, medians_of), list(keys), "left") if medians_of else a
 
 
-def resamples(per_rec: DataFrame, keys, n_boot=BOOT_N, seed=BOOT_SEED) -> DataFrame:
-    """Rows of `per_rec` drawn with replacement, n per replicate `b`; `per_rec` has one row per recording and key."""
-    w = Window.partitionBy(*keys).orderBy("rec")
-    r = per_rec.withColumn("_i", (F.row_number().over(w) - 1).cast("bigint"))
-    n = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = n.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_boot - 1).cast("bigint")))).withColumn(
-        "_j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    d = d.withColumn("_i", idiv(mix(seed, "b", "_j") * F.col("_n"), 2147483648)).drop("_j", "_n")
-    return d.join(r, [*keys, "_i"]).drop("_i")
+def multiplicity(seed, rec, b):
+    """How often a recording is drawn in replicate `b`: a Poisson number of mean 1 by a hash of (seed, recording, replicate), so that no replicate needs to
+    know the other recordings."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(rec), F.col(b).cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return sum(((u >= t).cast("bigint") for t in POISSON[1:]), (u >= POISSON[0]).cast("bigint"))
+
+
+def poisson_cuts(bits=32):
+    """Distribution function of a Poisson number of mean 1 at 0, 1, .., as numbers of `bits` bits; ends where the next would be all of them."""
+    out, total, term, k = [], 0.0, math.exp(-1.0), 0
+    while True:
+        total += term
+        cut = math.floor(total * (1 << bits))
+        if cut >= (1 << bits) - 1:
+            return out
+        out.append(cut)
+        k += 1
+        term /= k
+
+
+POISSON, PART, RANKS = poisson_cuts(), 50, 1024
+
+
+def _parts(n_boot):
+    return F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // PART))).alias("_part")
+
+
+def replicated(rows: DataFrame, n_boot=BOOT_N, seed=BOOT_SEED) -> DataFrame:
+    """`rows` (with `rec` and `_part`, a number of PART successive replicates) once per replicate `b` that draws the recording, with its multiplicity `m`."""
+    r = rows.withColumn("b", F.explode(F.sequence(F.col("_part") * PART, F.least(F.lit(n_boot), (F.col("_part") + 1) * PART) - 1)))
+    return r.withColumn("m", multiplicity(seed, "rec", "b")).filter("m > 0")
+
+
+def spread(rows: DataFrame, n_boot=BOOT_N) -> DataFrame:
+    """`rows` once per part of the replicates, dealt over all tasks before they multiply."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("*", _parts(n_boot)).repartition(n, "rec", "_part")
 
 
 def _ci(v):
@@ -86,22 +116,44 @@ def _ci(v):
 
 
 def boot_median(per_rec: DataFrame, keys, value, gate=None, n_boot=BOOT_N, seed=BOOT_SEED) -> DataFrame:
-    """Median over recordings with a 95 % interval; recordings below the gate and NULL values do not enter."""
+    """Median over recordings with a 95 % interval; recordings below the gate and NULL values do not enter. `per_rec` has one row per recording and key.
+
+    No task holds a stratum: recordings are ranked once per key and cut into runs of RANKS; each replicate adds up the multiplicities of each run (combined
+    on the map side), which names the run that holds its median, and only that run is looked at. An empty replicate does not count."""
+    keys = list(keys)
     r = per_rec.filter(F.col(value).isNotNull())
     if gate is not None:
         r = r.filter(gate)
-    mid = r.groupBy(*keys).agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n_recordings"))
-    b = resamples(r.select(*keys, "rec", value), keys, n_boot, seed).groupBy(*keys, "b").agg(F.median(value).alias("_m"))
-    return mid.join(b.groupBy(*keys).agg(*_ci("_m")), list(keys))
+    r = cut_lineage(r.select(*keys, "rec", F.col(value).cast("double").alias("_v")))
+    cuts = r.groupBy(*keys).agg(F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 10 * SPLITS).alias("_cuts"))
+    r = r.join(cuts, keys).withColumn("_ck", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    r = ranked(r, keys, ["_v", "rec"], "_ck", "_rk", "n_recordings").drop("_ck")
+    r = cut_lineage(r.withColumn("_run", idiv("_rk", RANKS)))
+    low, high = idiv(F.col("n_recordings") - 1, 2), idiv("n_recordings", 2)
+    mid = r.filter(F.col("_rk").isin(low, high)).groupBy(*keys).agg(F.avg("_v").alias("median"), F.first("n_recordings").alias("n_recordings"))
+    w = replicated(spread(r.select(*keys, "rec", "_run"), n_boot), n_boot, seed).groupBy(*keys, "b", "_run").agg(F.sum("m").alias("_w"))
+    of = Window.partitionBy(*keys, "b")
+    w = w.withColumns({"_before": F.sum("_w").over(of.orderBy("_run")) - F.col("_w"), "_n": F.sum("_w").over(of)})
+    w = w.withColumn("_at", F.explode(F.array_distinct(F.array(idiv(F.col("_n") - 1, 2), idiv("_n", 2)))))
+    w = cut_lineage(w.filter("_before <= _at AND _at < _before + _w").select(*keys, "b", "_run", "_before", "_at", idiv("b", PART).cast("int").alias("_part")))
+    some = r.join(w.select(*keys, "_run").distinct(), [*keys, "_run"], "left_semi").select(*keys, "rec", "_v", "_rk", "_run", _parts(n_boot))
+    j = some.join(w, [*keys, "_run", "_part"]).withColumn("m", multiplicity(seed, "rec", "b"))
+    cum = F.sum("m").over(Window.partitionBy(*keys, "b", "_at").orderBy("_rk"))
+    b = j.withColumn("_cum", F.col("_before") + cum).groupBy(*keys, "b", "_at").agg(F.min(F.when(F.col("_cum") > F.col("_at"), F.col("_v"))).alias("_v"))
+    b = b.groupBy(*keys, "b").agg(F.avg("_v").alias("_m"))
+    return mid.join(b.groupBy(*keys).agg(*_ci("_m")), keys, "left")
 
 
 def boot_ratio(per_rec: DataFrame, keys, num, den, n_boot=BOOT_N, seed=BOOT_SEED) -> DataFrame:
-    """Pooled sum(num) / sum(den) with a 95 % interval over resampled recordings."""
-    mid = per_rec.groupBy(*keys).agg(ratio(F.sum(num).cast("double"), F.sum(den)).alias("value"),
-                                     F.count(F.lit(1)).alias("n_recordings"), F.sum(den).alias("n"))
-    b = resamples(per_rec.select(*keys, "rec", num, den), keys, n_boot, seed).groupBy(*keys, "b").agg(
-        ratio(F.sum(num).cast("double"), F.sum(den)).alias("_r"))
-    return mid.join(b.groupBy(*keys).agg(*_ci("_r")), list(keys))
+    """Pooled sum(num) / sum(den) with a 95 % interval over resampled recordings: one weighted sum per replicate. `per_rec` has one row per recording and
+    key (recordings without a share have den 0 and count); a replicate with den 0 does not count."""
+    keys = list(keys)
+    p = cut_lineage(per_rec.select(*keys, "rec", F.col(num).alias("_num"), F.col(den).alias("_den")))
+    mid = p.groupBy(*keys).agg(ratio(F.sum("_num").cast("double"), F.sum("_den")).alias("value"), F.count(F.lit(1)).alias("n_recordings"),
+                               F.sum("_den").alias("n"))
+    b = replicated(spread(p, n_boot), n_boot, seed).groupBy(*keys, "b").agg(
+        ratio(F.sum(F.col("m") * F.col("_num")).cast("double"), F.sum(F.col("m") * F.col("_den"))).alias("_r"))
+    return mid.join(b.groupBy(*keys).agg(*_ci("_r")), keys, "left")
 
 
 def rayleigh(blocks: DataFrame, keys, m_min=5) -> DataFrame:

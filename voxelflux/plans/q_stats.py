@@ -101,10 +101,10 @@ def a20(spark, d):
 
 
 def boot_sql(src, key, agg, n_boot):
-    """Replicates of `agg` over resampled rows of src(key, rec, ..)."""
-    return f"""bi AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY rec) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS nn FROM
- {src}), bd AS (SELECT DISTINCT {key}, nn FROM bi), bx AS (SELECT {key}, b, {h(20261016, 'b', 'j')}*nn//2147483648 AS i FROM (SELECT *,
- unnest(range(nn)) AS j FROM bd, range({n_boot}) t(b))), bs AS (SELECT {key}, b, {agg} AS v FROM bx JOIN bi USING ({key}, i) GROUP BY ALL),
+    """Replicates of `agg` over src(key, rec, ..), each row as often as it is drawn."""
+    m = "+".join(f"(u >= {t})::BIGINT" for t in St.POISSON)
+    return f"""bu AS (SELECT *, ('0x' || substr(md5('{St.BOOT_SEED}:' || rec || ':' || b), 1, 8))::BIGINT AS u FROM {src}, range({n_boot}) t(b)),
+ bx AS (SELECT *, unnest(range({m})) AS copy FROM bu), bs AS (SELECT {key}, b, {agg} AS v FROM bx GROUP BY ALL),
  ci AS (SELECT {key}, quantile_cont(v, 0.025::DOUBLE) AS lo, quantile_cont(v, 0.975::DOUBLE) AS hi FROM bs GROUP BY ALL)"""
 
 
@@ -130,6 +130,42 @@ def a22(spark, d):
     return b.select("lighting", "n_recordings", "n", r6("value", "value"), r6("lo", "lo"), r6("hi", "hi"))
 
 
+POOLED = ROWS + """, zb AS (SELECT rec, n, (c*c+s*s)/n AS z FROM (SELECT rec, w, (y//4)*4+x//4 AS block, count(*) AS n,
+ sum(cos(2*pi()*tr/86400000000.0)) AS c, sum(sin(2*pi()*tr/86400000000.0)) AS s FROM ev GROUP BY ALL)), rc AS (SELECT rec, count(*) AS n FROM ev GROUP BY
+ rec), zc AS (SELECT rec, count(*) AS nb, sum(z) AS z, sum(n) AS np FROM zb WHERE n >= 5 GROUP BY rec), tc AS (SELECT rec, count(*) FILTER (skip = '' AND
+ abs(cvx-vlx) + abs(cvy-vly) <= 1) AS ok, count(*) FILTER (skip <> '' AND n = 1) AS fail, count(*) FILTER (skip = '' OR n = 1) AS defined FROM inst_rows WHERE
+ setting = 0 GROUP BY rec), cells AS (SELECT rec, 'mean_Z' AS cell, coalesce(z, 0)::DOUBLE AS num, coalesce(nb, 0)::BIGINT AS den FROM rc LEFT JOIN zc USING
+ (rec) UNION ALL SELECT rec, 'share_tested', coalesce(np, 0)::DOUBLE, n FROM rc LEFT JOIN zc USING (rec) UNION ALL SELECT rec, 'success1', coalesce(ok,
+ 0)::DOUBLE, coalesce(defined, 0) FROM rc LEFT JOIN tc USING (rec) UNION ALL SELECT rec, 'fail_share', coalesce(fail, 0)::DOUBLE, coalesce(defined, 0) FROM
+ rc LEFT JOIN tc USING (rec)), pc AS (SELECT """ + LIGHT + """ AS lighting, * FROM cells)"""
+
+
+@query("a22_pooled_cells", f"""WITH {POOLED}, {boot_sql('pc', 'lighting, cell', 'CASE WHEN sum(den) > 0 THEN sum(num)/sum(den) END', 2000)}, md AS (SELECT
+ lighting, cell, count(*) AS n_recordings, CAST(sum(den) AS BIGINT) AS n, CASE WHEN sum(den) > 0 THEN sum(num)/sum(den) END AS value FROM pc GROUP BY ALL)
+ SELECT lighting, cell, n_recordings, n, round(value,6) AS value, round(lo,6) AS lo, round(hi,6) AS hi FROM md LEFT JOIN ci USING (lighting, cell)""")
+def a22_pooled(spark, d):
+    """Pooled mean Rayleigh statistic, coverage, and success and failure shares of a task over all recordings of a stratum, with intervals. All cells go
+    through one bootstrap, so replicate b is the same draw of recordings in each."""
+    ev = events(spark, d)
+    a = F.lit(6.283185307179586) * F.col("tr") / float(DAY)
+    b = ev.groupBy("rec", "w", C.block_id("x", "y", 4, 16).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.cos(a)).alias("c"), F.sum(F.sin(a)).alias("s"))
+    tested, z = F.col("n") >= 5, (F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n")
+    rc = b.groupBy("rec").agg(F.sum("n").alias("n"), F.sum(F.when(tested, F.col("n"))).alias("np"), F.sum(F.when(tested, z)).alias("z"),
+                              F.count_if(tested).alias("nb"))
+    ok, small = F.col("skip") == "", F.col("n") == 1
+    err = F.abs(F.col("cvx") - F.col("vlx")) + F.abs(F.col("cvy") - F.col("vly"))
+    tc = instant_rows(spark, d).filter("setting = 0").groupBy("rec").agg(
+        F.count_if(ok & (err <= 1)).alias("ok"), F.count_if(~ok & small).alias("fail"), F.count_if(ok | small).alias("defined"))
+    cell = lambda name, num, den: F.struct(F.lit(name).alias("cell"), F.coalesce(F.col(num).cast("double"), F.lit(0.0)).alias("num"),
+                                           F.coalesce(F.col(den), F.lit(0)).alias("den"))
+    cells = F.explode(F.array(cell("mean_Z", "z", "nb"), cell("share_tested", "np", "n"), cell("success1", "ok", "defined"),
+                              cell("fail_share", "fail", "defined"))).alias("_c")
+    p = rc.join(tc, "rec", "left").select("rec", lighting().alias("lighting"), cells).select("rec", "lighting", "_c.*")
+    r = St.boot_ratio(p, ["lighting", "cell"], "num", "den")
+    return r.select("lighting", "cell", "n_recordings", "n", r6("value", "value"), r6("lo", "lo"), r6("hi", "hi"))
+
+
 @query("a23_rayleigh", f"""WITH {EV}, b AS (SELECT rec, w, (y//4)*4+x//4 AS block, count(*) AS n, sum(cos(2*pi()*tr/86400000000.0)) AS c,
  sum(sin(2*pi()*tr/86400000000.0)) AS s FROM ev GROUP BY ALL HAVING count(*) >= 5), z AS (SELECT rec, n, (c*c+s*s)/n AS z FROM b) SELECT rec,
  count(*) AS blocks, CAST(sum(n) AS BIGINT) AS pixels, round(avg(z),6) AS mean_Z, round(avg(CASE WHEN z > 4.605170185988092 THEN 1 ELSE 0 END),6)
