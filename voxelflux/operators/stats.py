@@ -222,3 +222,12 @@ def compare_stages(a: DataFrame, b: DataFrame, keys, columns) -> DataFrame:
     return j.agg(F.count_if(F.col("_r").isNull()).alias("only_left"), F.count_if(F.col("_l").isNull()).alias("only_right"),
                  F.count_if(both).alias("common"),
                  *[F.count_if(both & ~F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}"))).alias("unequal_" + c) for c in columns])
+
+
+def differing(a: DataFrame, b: DataFrame, keys, columns) -> DataFrame:
+    """(keys, n_left, n_right, violations): rows of two tables per key, and how many are left over when equal rows are struck out one against one. One
+    aggregation of both, combined on the map side, so a key with most rows is no hot task; NULLs are equal."""
+    cols = [*keys, *columns]
+    u = a.select(*cols, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(b.select(*cols, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    g = u.groupBy(*cols).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    return g.groupBy(*keys).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"), F.sum(F.abs(F.col("_l") - F.col("_r"))).alias("violations"))

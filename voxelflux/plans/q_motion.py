@@ -2,9 +2,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
-from ..operators import boxes as B, causal as Ca, codec as K, fits as Ft, flow as Fl, objects as Ob, regions as Rg, shift as S
-from ..operators import voxels as V
+from ..operators import boxes as B, causal as Ca, codec as K, encode as E, fits as Ft, flow as Fl, objects as Ob, regions as Rg, shift as S
+from ..operators import stats as St, subsets as Sb, voxels as V
 from ..operators.stats import medians
+from ..operators.windows import groups
 from ..sensor import DAY, DEMO
 from ..session import cut_lineage
 from ..sources.tables import events
@@ -74,6 +75,56 @@ def m9(spark, d):
     return fitted(events(spark, d))[1].select("rec", "g", "m", "block", "dx", "dy")
 
 
+def receiver_chain(spark, d):
+    """Sender's and receiver's key events, maps and scores (rec, g, m, n_rec, n_true, pairs) of one coded table of groups with fitted maps. The receiver's come
+    from the stored codes only. Every target of every group has a row, with zeros where a window or its reconstruction is empty."""
+    ev = events(spark, d)
+    ks = keys(ev)
+    key, maps = fitted(ev)
+    key, maps = cut_lineage(key), cut_lineage(maps)
+    coded = cut_lineage(E.encode(key, K.Q_KEY, DEMO, ("rec", "g")))
+    deltas = cut_lineage(E.map_deltas(maps))
+    dec = E.decode(coded, K.Q_KEY, DEMO, ("rec", "g")).withColumn("block", C.block_id("x", "y", DEMO.block, DEMO.width))
+    got = cut_lineage(E.decode_maps(deltas))
+    n = ev.groupBy("rec", "w").agg(F.count(F.lit(1)).alias("n_true"))
+    every = groups(ks, 4).filter("m > 0").join(n, ["rec", "w"], "left")
+
+    def scores(k, mp):
+        m = Sb.match_variants(K.reconstruct(k, mp, DEMO), ev, K.GRID, DEMO, ("g", "m")).select("rec", "g", "m", F.col("n1").alias("n_rec"), "pairs")
+        return every.join(m, ["rec", "g", "m"], "left").na.fill(0, ["n_rec", "n_true", "pairs"]).select("rec", "g", "m", "n_rec", "n_true", "pairs")
+    return (key, maps, scores(key, maps)), (dec, got, scores(dec, got))
+
+
+RECEIVED = f"""{GROUPS}, {KEYEV}, {FIT}, rv AS (SELECT key.rec, key.g, fmaps.m, p, least(2, tr*3//86400000000) AS tb, y + dy AS y, x + dx AS x FROM key JOIN fmaps
+ USING (rec, g, block)), rcn AS (SELECT rec, g, m, p, tb, y//2 AS by, x//2 AS bx, count(*) AS c FROM rv WHERE x >= 0 AND x < 16 AND y >= 0 AND y < 8 GROUP BY
+ ALL), rs AS (SELECT rec, g, m, sum(rcn.c) AS n_rec, sum(least(rcn.c, coalesce(tgv.c,0))) AS pairs FROM rcn LEFT JOIN tgv USING (rec, g, m, p, tb, by, bx)
+ GROUP BY ALL), nw AS (SELECT rec, w, count(*) AS n_true FROM ev GROUP BY ALL), sc AS (SELECT rec, g, m, CAST(coalesce(n_rec, 0) AS BIGINT) AS n_rec,
+ coalesce(n_true, 0) AS n_true, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs FROM gw LEFT JOIN nw USING (rec, w) LEFT JOIN rs USING (rec, g, m) WHERE m > 0)"""
+
+
+@query("a15_receiver_fitted", f"WITH {EV}, {RECEIVED} SELECT rec, g, m, n_rec, n_true, pairs FROM sc")
+def a15f(spark, d):
+    return receiver_chain(spark, d)[1][2]
+
+
+@query("a24_receiver", f"""WITH {EV}, {RECEIVED}, n AS (SELECT rec, 'key events' AS "check", count(*) AS n FROM key GROUP BY rec UNION ALL SELECT rec, 'maps',
+ count(*) FROM fmaps GROUP BY rec UNION ALL SELECT rec, 'scores', count(*) FROM sc GROUP BY rec) SELECT rec, "check", n AS n_sender, n AS n_receiver, 0::BIGINT
+ AS violations, true AS pass FROM n""")
+def a24_receiver(spark, d):
+    """What the receiver rebuilt against what the sender had: events on the key grid, maps, and scores of every group and target."""
+    (key, maps, sent), (dec, got, received) = receiver_chain(spark, d)
+    s, k = K.Q_KEY
+    grid = {"tb": C.time_bin("tr", k, DEMO.t0), "by": C.idiv("y", s), "bx": C.idiv("x", s)}
+    tables = {"key events": (key.withColumns(grid), dec.withColumns(grid), ["g", "p", "tb", "by", "bx"]), "maps": (maps, got, ["g", "block", "m", *E.PARAMS]),
+              "scores": (sent, received, ["g", "m", "n_rec", "n_true", "pairs"])}
+    out = None
+    for name, (a, b, cols) in tables.items():
+        c = St.differing(a, b, ["rec"], cols).select("rec", F.lit(name).alias("check"), F.col("n_left").alias("n_sender"), F.col("n_right").alias("n_receiver"),
+                                                     "violations", (F.col("violations") == 0).alias("pass"))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 M10_SQL = f"""WITH {EV}, {GROUPS}, {KEYEV}, {FIT}, md(model) AS (VALUES ('static'),('translation')), mv AS (SELECT model, key.rec, key.g, fmaps.m, p,
  least(2, tr*3//86400000000) AS tb, (y + CASE WHEN model='static' THEN 0 ELSE dy END) AS y, (x + CASE WHEN model='static' THEN 0 ELSE dx END) AS x FROM key
  JOIN fmaps USING (rec, g, block), md), mc AS (SELECT model, rec, g, m, p, tb, y//2 AS by, x//2 AS bx, count(*) AS c FROM mv WHERE x >= 0 AND x < 16 AND y

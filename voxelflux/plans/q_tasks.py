@@ -10,8 +10,8 @@ from ..sensor import DAY, DEMO
 from ..session import cut_lineage
 from ..sources.tables import events
 from .q_boxes import NEAREST, TILE, label_tables
-from .q_codec import RHOS, SHARES, SUBSETS, bits_sql
-from .q_ingest import EV, GROUPS, KEYS, keys, r6
+from .q_codec import RHOS, SHARES, SUBSETS, bits_sql, zz
+from .q_ingest import EV, GROUPS, KEYS, keys, r6, uleb_sql
 from .q_motion import FIT, KEYEV, fitted
 from .q_shift import EG, N_MIN, PHASE, R, groups_of, moved_sql
 from .registry import query
@@ -70,6 +70,20 @@ def m12(spark, d):
     return p.groupBy("rec", "g", "m", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"), F.max("st").alias("st"))
 
 
+RECORD = f"""og AS (SELECT DISTINCT rec, g FROM sp), slots AS (SELECT rec, g, 'flow' AS part, 0::BIGINT AS m FROM og UNION ALL SELECT rec, g, 'plain', m FROM og,
+ range(0::BIGINT, 4) t(m)), eb AS (SELECT * FROM {bits_sql("(SELECT * FROM sp WHERE part <> 'predicted')", 'rec, g, part, m', (1, 3))}), fv AS (SELECT DISTINCT
+ rec, g, x, y, p, vx, vy FROM sp WHERE part = 'flow'), fb AS (SELECT rec, g, count(*) AS n, sum({uleb_sql(zz('vx'))} + {uleb_sql(zz('vy'))}) AS b FROM fv GROUP
+ BY ALL), rp AS (SELECT rec, g, part, m, coalesce(n, 0) AS n, coalesce(bits, 8) AS bits FROM slots LEFT JOIN eb USING (rec, g, part, m) UNION ALL SELECT rec, g,
+ 'velocity', 0, coalesce(n, 0), CAST(8*(coalesce(b, 0) + {uleb_sql('coalesce(n, 0)')}) AS BIGINT) FROM og LEFT JOIN fb USING (rec, g))"""
+
+
+@query("m12_record_bits", f"WITH {EV}, {FLOWS}, {RECORD} SELECT rec, g, part, m, n, bits FROM rp")
+def m12_record(spark, d):
+    """The parts of each group's record with their sizes."""
+    p, _ = flow_parts(spark, d)
+    return Fl.record_parts(p, DEMO, 4)
+
+
 STEPS = """fs AS (SELECT rec, g, seq, p, x, y, t_us AS t, vx/86400000000.0 AS ux, vy/86400000000.0 AS uy, sqrt((vx/86400000000.0)*(vx/86400000000.0) +
  (vy/86400000000.0)*(vy/86400000000.0)) AS spd, g*86400000000 + st AS tf, (g+4)*86400000000 AS tt FROM sp WHERE part = 'flow'), cn AS (SELECT fs.*, cx, cy,
  ((cx-x)*ux + (cy-y)*uy)/(spd*spd) AS tm FROM fs, range(16) a(cx), range(8) b(cy)), hit AS (SELECT rec, g, seq, p, cx AS x, cy AS y, CAST(floor(t + tm) AS
