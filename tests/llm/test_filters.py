@@ -3,6 +3,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 
 import duckdb
 import numpy as np
@@ -118,6 +119,32 @@ def test_markov_ratio(spark):
     assert max(map(abs, flat)) == 0
 
 
+def test_fitted_threshold(spark, sf, empty):
+    """Random strings of three alphabets planted in whole documents are found, identifiers in them are not; documents that were no samples."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    known = secrets.fitted(docs)
+    assert known.precision >= 0.98 and known.recall >= 0.98 and -secrets.SPAN < known.threshold < secrets.SPAN
+    rnd = random.Random(12)
+    alphabets = (string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/")
+    words = [w for r in docs.where("doc_id % 7 = 0").collect() for w in re.findall("[A-Za-z]{4,}", r.text or "")][:4000]
+    some = lambda n: [rnd.choice(words).lower() for _ in range(n)]
+    planted = [(i, " ".join(some(40)) + " " + "".join(rnd.choice(alphabets[i % 3]) for _ in range(24 + i % 17)) + "x7 " + " ".join(some(40))) for i in range(300)]
+    clean = [(1000 + i, " ".join(some(40)) + " " + ("_", "-", "")[i % 3].join([*(w.title() if i % 3 == 2 else w for w in some(4)), str(i)]) + " " + " ".join(some(40)))
+             for i in range(300)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(planted + clean, "doc_id long, text string"), known.model, known.threshold)
+           .selectExpr("doc_id", "size(spans) as spans").collect()}
+    assert sum(got[d] == 1 for d, _ in planted) >= 294 and sum(got[d] > 0 for d, _ in clean) <= 6
+    assert secrets.fitted(empty)[1:] == (secrets.FALLBACK, None, None)
+
+
+def test_quality_costs_are_marginal(spark):
+    """A rule that reads reported figures only costs next to nothing beside one that sorts the text; texts that fail the base rules don't count."""
+    slow = lambda t: len(sorted(t.raw * 20)) < 0
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(400))) for i in range(40)] + [(100 + i, "too short") for i in range(40)]
+    cost, rejects = quality_rules.measured(spark.createDataFrame(rows, "doc_id long, text string"), {"figures": quality_rules.too_symbolic, "slow": slow})
+    assert rejects.shape == (40, 2) and cost[0] * 20 < cost[1]
+
+
 def test_factorisation_identity_and_accuracy(spark, sf, edge, empty, labels, no_labels, texts):
     m = factorisation.Machine()
     rnd = np.random.default_rng(1)

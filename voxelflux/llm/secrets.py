@@ -5,21 +5,24 @@ Offsets of matches come from the text split at the pattern: gaps and matches alt
 The Markov test compares two bigram models of characters, one of random strings and one of ordinary identifiers, by their
 log-likelihood ratio. Both are trained from labelled samples by counting bigrams in one aggregation; the model is a fixed-size table
 (alphabet squared). Candidates are runs of 20 or more characters with a letter and a digit; one that touches no fixed match is added if its
-ratio exceeds `threshold`.
+ratio exceeds a threshold, which is fitted on the candidates among a held-out quarter of the samples.
 """
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .textops import forget, stored
 
 #: Patterns of the three base kinds (a match of 'assign' also needs a value of 6 or more characters).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"          # LEAST characters
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STEP = 64
+LEAST, SPAN, FALLBACK = 20, 512, 12.0
 
 
 def _let(value: Column, body) -> Column:
@@ -91,28 +94,88 @@ def _conditional(pairs: list[float], side: int, weight: float = 5.0) -> list[flo
     return [(pairs[p] + weight * share[p % side]) / (seen[p // side] + weight) for p in range(side * side)]
 
 
+def _ratio(word: Column, model: list[float]) -> Column:
+    """Log-likelihood ratio of a word under a model's table."""
+    table = F.array(*[F.lit(float(x)) for x in model])
+    return F.aggregate(_bigrams(word), F.lit(0.0), lambda a, p: a + F.element_at(table, p + 1))
+
+
+def _mixed(word: Column) -> Column:
+    return word.rlike("[0-9]") & word.rlike("[A-Za-z]")
+
+
+class Fitted(NamedTuple):
+    """A model with the threshold of its candidates, and what that reaches on the held-out samples (None where a kind has none)."""
+    model: list[float]
+    threshold: float
+    precision: float | None
+    recall: float | None
+
+
+def fit(samples: DataFrame) -> Fitted:
+    """Model from three quarters of the distinct samples (by a hash of the word) and threshold from the candidates in the last quarter.
+
+    The threshold has the least sum of the two error rates over whole numbers from -SPAN to SPAN, the middle one of equals. Nulls are ignored; where either
+    kind has no held-out candidate it is FALLBACK."""
+    held = F.pmod(F.xxhash64("word"), F.lit(4)) == 0
+    model = train(samples.where(~held))
+    tried = samples.where(held & F.col("random").isNotNull() & (F.char_length("word") >= LEAST) & _mixed(F.col("word"))).select("word", "random").distinct()
+    level = F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.floor(_ratio(F.col("word"), model)).cast("int")))
+    count = {True: [0] * (2 * SPAN + 1), False: [0] * (2 * SPAN + 1)}
+    for r in tried.groupBy("random", level.alias("level")).count().collect():          # at most 2 * (2 * SPAN + 1) rows
+        count[r["random"]][r["level"] + SPAN] += r["count"]
+    found, wrong = sum(count[True]), sum(count[False])
+    if not found or not wrong:
+        return Fitted(model, FALLBACK, None, None)
+    best, least, missed, taken = [], math.inf, 0, wrong
+    for t in range(2 * SPAN + 1):                                   # words of level t or more are taken
+        cost = missed / found + taken / wrong
+        if cost < least:
+            best, least = [], cost
+        if cost == least:
+            best.append((t, missed, taken))
+        missed += count[True][t]
+        taken -= count[False][t]
+    t, missed, taken = best[len(best) // 2]
+    hits = found - missed
+    return Fitted(model, float(t - SPAN), hits / (hits + taken) if hits + taken else None, hits / found)
+
+
 def labelled_words(docs: DataFrame, sample: int = 20_000) -> DataFrame:
-    """Labelled samples (word, random) from about `sample` documents (by a hash; a documented bound of the training set): random are the values of fixed matches
-    and, so that no alphabet is missing, hex and base64 digests of the ids; ordinary are words of 8 or more characters outside fixed matches."""
+    """Labelled samples (word, random) from about `sample` documents (by a hash; a documented bound of the training set). Random are the values of fixed
+    matches and, so that no alphabet is missing, hex and base64 digests of the ids. Ordinary are words of 8 or more characters outside fixed matches, and
+    identifiers made of three words of a text and a number: joined by _ or -, or with capitals."""
     n = docs.count()
     docs = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
     text = F.col("text")
     found = docs.select(F.explode(base_matches(text)).alias("m")).select(F.col("m.value").alias("word"))
     sha = F.sha2(F.col("doc_id").cast("string"), 256)
     drawn = docs.select(F.explode(F.array(F.substr(sha, F.lit(1), F.lit(40)), F.regexp_replace(F.base64(F.unhex(sha)), "=+$", ""))).alias("word"))
-    plain = docs.select(F.explode(F.regexp_extract_all(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " "),
-                                                       F.lit(r"[A-Za-z0-9+/_=-]{8,}+"), F.lit(0))).alias("word"))
-    return found.union(drawn).withColumn("random", F.lit(True)).union(plain.withColumn("random", F.lit(False)))
-
-
-def scan(docs: DataFrame, model: list[float], threshold: float = 12.0) -> DataFrame:
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
+    plain = docs.select(F.explode(F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{8,}+"), F.lit(0))).alias("word"))
+    words, number = F.col("words"), F.pmod("doc_id", F.lit(1000)).cast("string")
+    three = lambda k: F.slice(words, 3 * k + 1, 3)
+    made = F.array(F.concat_ws("_", three(0), number), F.concat_ws("-", three(1), number),
+                   F.concat(F.array_join(F.transform(three(2), lambda w: F.initcap(w)), ""), number))
+    named = docs.select("doc_id", F.regexp_extract_all(rest, F.lit("[A-Za-z]{4,}+"), F.lit(0)).alias("words")).where("doc_id is not null and size(words) >= 9")
+    named = named.select(F.explode(made).alias("word"))
+    return found.union(drawn).withColumn("random", F.lit(True)).union(plain.union(named).withColumn("random", F.lit(False)))
+
+
+def fitted(docs: DataFrame, sample: int = 20_000) -> Fitted:
+    """`fit` of the labelled words of `docs` (doc_id, text), which are written once."""
+    words = stored(labelled_words(docs, sample))
+    out = fit(words)
+    forget(words)
+    return out
+
+
+def scan(docs: DataFrame, model: list[float], threshold: float = FALLBACK) -> DataFrame:
     """`docs` with two more columns: base (matches of the fixed kinds) and spans (those and the added ones), both lists of
     (start, kind, end, value) by start and then by kind, in code points with the end exclusive."""
-    table = F.array(*[F.lit(float(x)) for x in model])
-    ratio = lambda w: F.aggregate(_bigrams(w), F.lit(0.0), lambda a, p: a + F.element_at(table, p + 1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.withColumn("base", base_matches(text))
-    docs = docs.withColumn("more", F.filter(_matches(text, RUN, "random"), lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & (ratio(m["value"]) > threshold)))
+    docs = docs.withColumn("more", F.filter(_matches(text, RUN, "random"), lambda m: _mixed(m["value"]) & (_ratio(m["value"], model) > threshold)))
     free = F.filter("more", lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return docs.withColumn("spans", F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", free)))).drop("more")
 
@@ -122,25 +185,30 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secrets(docs: DataFrame, threshold: float = 12.0, sample: int = 20_000) -> DataFrame:
+def _scanned(work: DataFrame, docs: DataFrame, threshold: float | None, sample: int) -> DataFrame:
+    known = fitted(docs, sample)
+    return scan(work, known.model, known.threshold if threshold is None else threshold)
+
+
+def secrets(docs: DataFrame, threshold: float | None = None, sample: int = 20_000) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Null text is empty; rows that repeat are scanned alone; a null doc_id stays null; other columns are ignored; an empty
-    table gives no row; matches are never capped.
+    table gives no row; matches are never capped. The threshold is the fitted one unless given.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = scan(docs, train(labelled_words(docs, sample)), threshold)
+    out = _scanned(docs, docs, threshold, sample)
     number = lambda k: F.size(F.filter("base", lambda b: b["kind"] == k)).cast("long")
     return out.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
                       F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, threshold: float = 12.0, sample: int = 20_000, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, threshold: float | None = None, sample: int = 20_000, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with each run of found spans in text replaced by `mark`, and n_chars (where there is such a column) counted anew for
     changed texts; all rows and columns stay. Null text stays null."""
     names = docs.columns
     work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
-    work = scan(work, train(labelled_words(work.select("doc_id", "text"), sample)), threshold)
+    work = _scanned(work, work.select("doc_id", "text"), threshold, sample)
     reach = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.array_max(F.transform(F.slice("spans", F.lit(1), F.greatest(i, F.lit(1))), lambda s: s["end"])))
     piece = lambda s, i: _let(reach(i), lambda at: F.when(s["start"] >= at, F.concat(
         F.substr(F.col("text"), at + 1, s["start"] - at), F.lit(mark))).otherwise(F.lit("")))
