@@ -11,7 +11,7 @@ from voxelflux.operators import boxes as B, causal as Ca, codec as K, codelen as
 from voxelflux.operators import regions as Rg, shift as S, trains as Tr, voxels as V
 from voxelflux.sensor import Sensor
 from voxelflux.sources import ingest as I
-from voxelflux.streaming import live as Lv
+from voxelflux.streaming import live as Lv, memory
 
 T0 = 33_333
 
@@ -312,5 +312,7 @@ def test_streams_equal_batch_over_many_micro_batches(spark, tmp_path):
     assert key(drain(Lv.running_bits), "seq", "address_bits", "polarity_bits") == key(want, "seq", "address_bits", "polarity_bits")
     q = pdf.groupby(["rec", "x", "y"])
     want = pd.DataFrame({"seq": pdf.seq, "a": pdf.t_us - q.t_us.shift(1), "p": q.p.shift(1)}).fillna(-1)
-    got = drain(Lv.pixel_ages).toPandas().sort_values("seq").fillna(-1)
+    live = Lv.stream_events(spark, str(src), "part*.parquet", schema, 1).withColumn("ts", F.timestamp_micros("t_us"))
+    with memory.keyed_state(spark):
+        got = Lv.run_to_files(memory.pixel_ages(live), str(tmp_path / "ages")).toPandas().sort_values("seq").fillna(-1)
     assert (got.age_us.to_numpy() == want.a.to_numpy()).all() and (got.last_p.to_numpy() == want.p.to_numpy()).all()
