@@ -34,13 +34,13 @@ def exact_quantiles(rows: DataFrame, keys, value, qs) -> DataFrame:
     A group is never gathered: equal values are counted first, the running count is taken in two phases over value chunks,
     and each order statistic is the least value whose running count passes its rank - a plain aggregate. Chunks end at
     approximate percentiles of the group's own distinct values, so they are even however narrow its range is. NULL and NaN do not
-    enter; infinities are values like others."""
+    enter; infinities are values like others. No join goes through the driver: there may be as many groups as rows."""
     keys = list(keys)
     v = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     c = cut_lineage(v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))       # the rows are read once
     cuts = F.percentile_approx("_v", [i / SPLITS for i in range(1, SPLITS)], 10 * SPLITS)
     n = c.groupBy(*keys).agg(F.sum("_c").alias("n"), cuts.alias("_cuts"))
-    chunked = c.join(n, keys).withColumn("_ck", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    chunked = c.join(n.hint("merge"), keys).withColumn("_ck", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
     r = running(chunked, [*keys, "n"], ["_v"], "_ck", "_c", F.sum, "_cum")
     at = {}
     for i, q in enumerate(qs):
@@ -69,7 +69,7 @@ def medians(rows: DataFrame, keys, columns) -> DataFrame:
 def per_recording(rows: DataFrame, keys, medians_of=(), shares=()) -> DataFrame:
     """Row counts, medians and shares per key. A recording may hold most rows, so medians use the distributed form."""
     a = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(c) for c in shares])
-    return a.join(medians(rows, keys, medians_of), list(keys), "left") if medians_of else a
+    return a.join(medians(rows, keys, medians_of).hint("merge"), list(keys), "left") if medians_of else a
 
 
 def multiplicity(seed, rec, b):
