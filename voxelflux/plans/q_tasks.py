@@ -84,10 +84,9 @@ def m12_record(spark, d):
     return Fl.record_parts(p, DEMO, 4)
 
 
-STEPS = """fs AS (SELECT rec, g, seq, p, x, y, t_us AS t, vx/86400000000.0 AS ux, vy/86400000000.0 AS uy, sqrt((vx/86400000000.0)*(vx/86400000000.0) +
- (vy/86400000000.0)*(vy/86400000000.0)) AS spd, g*86400000000 + st AS tf, (g+4)*86400000000 AS tt FROM sp WHERE part = 'flow'), cn AS (SELECT fs.*, cx, cy,
- ((cx-x)*ux + (cy-y)*uy)/(spd*spd) AS tm FROM fs, range(16) a(cx), range(8) b(cy)), hit AS (SELECT rec, g, seq, p, cx AS x, cy AS y, CAST(floor(t + tm) AS
- BIGINT) AS t_us FROM cn WHERE sqrt(pow(cx-x-ux*tm,2) + pow(cy-y-uy*tm,2)) < 0.4 AND t+tm >= tf AND t+tm < tt)"""
+STEPS = """fs AS (SELECT rec, g, seq, p, x, y, t_us AS t, vx, vy, vx*vx + vy*vy AS v2, g*86400000000 + st AS tf, (g+4)*86400000000 AS tt FROM sp WHERE part =
+ 'flow'), cn AS (SELECT fs.*, cx, cy, (cx-x)*vy - (cy-y)*vx AS side, t + (((cx-x)*vx + (cy-y)*vy)*86400000000)//v2 AS tm FROM fs, range(16) a(cx), range(8)
+ b(cy)), hit AS (SELECT rec, g, seq, p, cx AS x, cy AS y, tm AS t_us FROM cn WHERE 25*side*side < 4*v2 AND tm >= tf AND tm < tt)"""
 
 
 @query("m13_straight_paths", f"""WITH {EV}, {FLOWS}, {STEPS} SELECT rec, g, t_us//86400000000 - g AS m, x, y, p, count(*) AS n FROM hit GROUP BY ALL""")
