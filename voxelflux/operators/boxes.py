@@ -200,6 +200,23 @@ def box_pixels(boxes: DataFrame, sensor: Sensor, margin=0.0, keys=("rec", "w"),
         *keys, "x", "y").distinct()
 
 
+def pixel_bounds(boxes: DataFrame, sensor: Sensor, margin=0.0, prefix="_") -> DataFrame:
+    """First and last column and row (xa, xb, ya, yb) of the pixels of each box dilated by `margin`, as `box_pixels` takes them."""
+    lo = lambda c: F.greatest(F.lit(0).cast("bigint"), F.ceil(c - margin))                    # noqa: E731
+    hi = lambda c, n: F.least(F.lit(n).cast("bigint"), F.ceil(c + margin)) - 1                # noqa: E731
+    return boxes.withColumns({prefix + "xa": lo(F.col("bx")), prefix + "xb": hi(F.col("bx") + F.col("bw"), sensor.width),
+                              prefix + "ya": lo(F.col("by")), prefix + "yb": hi(F.col("by") + F.col("bh"), sensor.height)})
+
+
+def bounds_area(prefix):
+    side = lambda a, b: F.greatest(F.lit(0).cast("bigint"), F.col(prefix + b) - F.col(prefix + a) + 1)
+    return side("xa", "xb") * side("ya", "yb")
+
+
+def in_bounds(prefix):
+    return F.col("x").between(F.col(prefix + "xa"), F.col(prefix + "xb")) & F.col("y").between(F.col(prefix + "ya"), F.col(prefix + "yb"))
+
+
 def events_in_rects(ev: DataFrame, boxes: DataFrame, keys=("rec", "w"), tile=64, sensor: Sensor = None) -> DataFrame:
     """Pairs (event, box) with half-open bounds; boxes carry bx, by, bw, bh and an id column set."""
     ntx, nty = -(-sensor.width // tile), -(-sensor.height // tile)

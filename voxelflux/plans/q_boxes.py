@@ -248,23 +248,28 @@ def j19(spark, d):
     ev = events(spark, d)
     boxes = B.boxes_at_centres(B.segments(B.clean_labels(raw_labels(spark, d)), DAY), DEMO)
     # the offset is two windows; what it moves before the first window has no events to compare with
-    parts = [boxes.withColumns({"conv": F.lit(conv), "w": F.col("w") - off}).filter("w >= 0") for conv, off in (("as_stored", 0), ("minus_offset", 2))]
-    m = clock_ratio(ev, parts[0].unionByName(parts[1]), DEMO, (1.0, 3.0))
+    conv = F.explode(F.array(*[F.struct(F.lit(c).alias("conv"), F.lit(o).alias("off")) for c, o in (("as_stored", 0), ("minus_offset", 2))]))
+    moved = boxes.withColumn("_c", conv).withColumns({"conv": F.col("_c.conv"), "w": F.col("w") - F.col("_c.off")}).filter("w >= 0").drop("_c")
+    m = clock_ratio(ev, moved, DEMO, (1.0, 3.0), TILE)
     return m.select("conv", "n_boxes", r6("med", "median_ratio"),
                     (F.col("med") == F.max("med").over(Window.partitionBy())).alias("chosen"))
 
 
-def clock_ratio(ev, boxes, sensor, ring):
-    """Median over boxes of (events per pixel in the box) / (events per pixel in the ring around it), per convention."""
-    key = ("conv", "rec", "w", "track_id")
-    inner = B.box_pixels(boxes, sensor, 0.0, key).withColumn("zone", F.lit(1))
-    outer = B.box_pixels(boxes, sensor, ring[1], key).join(B.box_pixels(boxes, sensor, ring[0], key), [*key, "x", "y"],
-                                                           "left_anti").withColumn("zone", F.lit(0))
-    c = ev.groupBy("rec", "w", "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    px = inner.unionByName(outer).join(c, ["rec", "w", "x", "y"], "left")
-    z = lambda v, k: F.sum(F.when(F.col("zone") == k, v).otherwise(0))                          # noqa: E731
-    n = F.coalesce("c", F.lit(0))
-    r = px.groupBy(*key).agg(z(n, 1).alias("ei"), z(n, 0).alias("eo"), z(F.lit(1), 1).alias("ai"), z(F.lit(1), 0).alias("ao"))
+def clock_ratio(ev, boxes, sensor, ring, tile=64):
+    """Median over boxes of (events per pixel in the box) / (events per pixel in the ring around it), per convention. `boxes` has one box per
+    conv, rec, w, track_id; `ring` is the inner and the outer margin. Boxes meet counted pixels on tiles, and areas come from their bounds."""
+    key = ["conv", "rec", "w", "track_id"]
+    b = B.pixel_bounds(boxes, sensor, ring[1], "_o")
+    b = B.pixel_bounds(B.pixel_bounds(b, sensor, ring[0], "_m"), sensor, 0.0, "_i")
+    b = b.withColumns({"ai": B.bounds_area("_i"), "ao": B.bounds_area("_o") - B.bounds_area("_m")}).filter("ai > 0 AND ao > 0")
+    b = cut_lineage(b.select(*key, "ai", "ao", *[f"{n}{c}" for n in ("_o", "_m", "_i") for c in ("xa", "xb", "ya", "yb")]))
+    t = lambda lo, hi: F.explode(F.sequence(C.idiv(lo, tile), C.idiv(hi, tile)))                     # noqa: E731
+    at = b.withColumn("_tx", t("_oxa", "_oxb")).withColumn("_ty", t("_oya", "_oyb"))
+    c = ev.groupBy("rec", "w", "x", "y").agg(F.count(F.lit(1)).alias("c")).withColumns({"_tx": C.idiv("x", tile), "_ty": C.idiv("y", tile)})
+    hit = at.join(c.hint("merge"), ["rec", "w", "_tx", "_ty"]).filter(B.in_bounds("_o"))
+    z = lambda v: F.sum(F.when(v, F.col("c")).otherwise(0))                                      # noqa: E731
+    e = hit.groupBy(*key).agg(z(B.in_bounds("_i")).alias("ei"), z(~B.in_bounds("_m")).alias("eo"))
+    r = b.select(*key, "ai", "ao").join(e.hint("merge"), key, "left").na.fill(0, ["ei", "eo"])
     r = r.withColumn("ratio", B.density_ratio(F.col("ei"), F.col("eo"), F.col("ai"), F.col("ao"))).filter("ratio IS NOT NULL")
     q = exact_quantiles(cut_lineage(r), ["conv"], "ratio", [0.5])
     return q.select("conv", F.col("n").alias("n_boxes"), F.col("q0").alias("med"))
