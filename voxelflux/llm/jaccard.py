@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, without loss: a prefix-filter join, exact verification, components.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash candidates (`simhash.links`, Golay-code keys), exact verification, a prefix-filter join
+for the pairs that fingerprints lose, components.
+
+SimHash links sets whose fingerprints over the same five-word shingles differ in 3 bits or fewer, in a forest; each of its edges is verified on the sets.
+Fingerprints of similar sets may differ in more bits, so the prefix filter finds the rest, without loss.
 
 Shingles of all documents are put in one order, rare ones first. Two sets of similarity 4/5 or more share at least 4/5 of the larger one, so their first
 n - ceil(4n/5) + 1 shingles (the prefix) have one in common: joining prefixes finds every such pair, whatever the order is. The order only keeps buckets
@@ -14,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
+from .simhash import fingerprint, links as near_fingerprints
 from .textops import NONSPACE, U64, Words, bitmap, chunks, forget, passes, scramble, stored
 
 SHINGLE, OFTEN, HOT, STRETCH, BLOCK = 5, 32, 1 << 18, 1 << 21, 256
@@ -76,8 +81,8 @@ def _possible(batches):
 
 
 def _sets(hot, wanted=None):
-    """h, k (hash of the set), n (its size) of each row, its prefix of shingles and its parity bitmap. With a bitmap `wanted` only rows whose k passes it, with
-    all their shingles and without parity."""
+    """h, k (hash of the set), n (its size) of each row, its prefix of shingles, its parity bitmap and its SimHash. With a bitmap `wanted` only rows whose k
+    passes it, with all their shingles and without parity and SimHash."""
     whole = wanted is not None
 
     def run(batches):
@@ -89,6 +94,8 @@ def _sets(hot, wanted=None):
                 n = np.diff(cut)
                 k = [xxhash.xxh64_intdigest(g[a:b].tobytes(), 1) for a, b in zip(cut[:-1], cut[1:])]
                 bits = pa.nulls(j - i, pa.binary()) if whole else _parity(row, g, n)
+                fp = pa.nulls(j - i, pa.int64()) if whole else pa.array(np.array(
+                    [fingerprint(data[a:b].tobytes(), SHINGLE) for a, b in zip(offs[:-1], offs[1:])], np.uint64).view(np.int64))
                 if not whole:
                     late = np.full(len(g), -1)
                     if len(often) and len(g):
@@ -99,8 +106,8 @@ def _sets(hot, wanted=None):
                     cut = np.append(0, np.cumsum(np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)))
                 rows = pa.RecordBatch.from_arrays([
                     *[batch.column(c).slice(i, j - i) for c in ("doc_id", "h")], pa.array(np.array(k, np.uint64).view(np.int64)), pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(g.view(np.int64))), bits],
-                    names=["doc_id", "h", "k", "n", "g", "bits"])
+                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(g.view(np.int64))), bits, fp],
+                    names=["doc_id", "h", "k", "n", "g", "bits", "fp"])
                 if whole:
                     once = np.unique(np.array(k, np.uint64), return_index=True)[1]
                     rows = rows.take(pa.array(once[passes(np.array(k, np.uint64)[once], wanted.value)]))
@@ -120,7 +127,7 @@ def _shared(bits):
     return run
 
 
-SET = "doc_id long, h long, k long, n int, g array<long>, bits binary"
+SET = "doc_id long, h long, k long, n int, g array<long>, bits binary, fp long"
 
 
 def _similar(batches):
@@ -146,20 +153,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, kinds: DataFrame, hot) -> DataF
     return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
 
 
+def _close(bits, bits2, a, b, most):
+    """Which pairs (a, b) of bitmaps differ in `most` bits at most; the larger of two is folded to the size of the smaller."""
+    size, size2 = np.array([len(v) for v in bits]), np.array([len(v) for v in bits2])
+    least, ok = np.minimum(size[a], size2[b]), np.ones(len(a), bool)
+    for s in np.unique(least):
+        at = np.flatnonzero(least == s)
+        x, y = ({r: np.bitwise_xor.reduce(np.frombuffer(v[r], np.uint64).reshape(-1, s // 8), axis=0) for r in np.unique(i[at])} for v, i in ((bits, a), (bits2, b)))
+        step = max(1, (1 << 21) // int(s))
+        for i in range(0, len(at), step):
+            part = at[i:i + step]
+            far = np.bitwise_count(np.stack([x[r] for r in a[part]]) ^ np.stack([y[r] for r in b[part]])).sum(axis=1, dtype=np.int64)
+            ok[part] = 9 * far <= most[part]
+    return ok
+
+
 def _blocks(batches):
-    """Pairs of different components, of one member of each of two blocks, that sizes and 512-bit parities leave possible."""
+    """Pairs of different components, of one member of each of two blocks, that sizes and parities leave possible: first 512 bits of all pairs, then the whole
+    bitmaps of those left, since 512 bits tell large sets apart no more."""
     def side(column, r):
         v = column[r].values
-        bits = [np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, 8), axis=0) for b in v.field("bits").to_pylist()]
-        return [np.asarray(v.field(c)) for c in ("k", "n", "root")] + [np.array(bits)]
+        whole = v.field("bits").to_pylist()
+        bits = [np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, 8), axis=0) for b in whole]
+        return [np.asarray(v.field(c)) for c in ("k", "n", "root")] + [np.array(bits), whole]
     for batch in batches:
         for r in range(batch.num_rows):
-            (k, n, root, x), (k2, n2, root2, y) = side(batch.column("mine"), r), side(batch.column("theirs"), r)
+            (k, n, root, x, bits), (k2, n2, root2, y, bits2) = side(batch.column("mine"), r), side(batch.column("theirs"), r)
             far = np.zeros((len(k), len(k2)), np.int64)
             for w in range(8):
                 far += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
             m, m2 = n[:, None].astype(np.int64), n2[None, :].astype(np.int64)
             a, b = np.nonzero((root[:, None] != root2) & (9 * far <= m + m2) & (5 * m >= 4 * m2) & (5 * m2 >= 4 * m))
+            ok = _close(bits, bits2, a, b, n[a].astype(np.int64) + n2[b])
+            a, b = a[ok], b[ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(k[a], k2[b])), pa.array(np.maximum(k[a], k2[b]))], names=["a", "b"])
 
 
@@ -173,6 +199,15 @@ def _paired(left: DataFrame, kinds: DataFrame) -> DataFrame:
     return both.where("size(mine) > 0 and size(theirs) > 0").select("mine", "theirs").mapInArrow(_blocks, "a long, b long").distinct()
 
 
+def _alike(kinds: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets by SimHash: each set with the least of its fingerprint, and those of linked fingerprints with each other."""
+    least = stored(kinds.groupBy("fp").agg(F.min("k").alias("least")))
+    same = kinds.join(least, "fp").where("k != least").select(F.col("least").alias("a"), F.col("k").alias("b"))
+    near = near_fingerprints(least).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(
+        least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     key, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     return docs.select(key.alias("doc_id"), F.xxhash64(key, text).alias("h"), text.alias("text"))
@@ -188,7 +223,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = np.argsort(often)
     hot = docs.sparkSession.sparkContext.broadcast((often[order], n[order]))
     rows = stored(docs.mapInArrow(_sets(hot), SET))
-    kinds = stored(rows.groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("g").alias("g")))
+    kinds = stored(rows.groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("g").alias("g"), F.min("fp").alias("fp")))
     size = stored(kinds.select("k", "n", F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("star")).where("c > 1"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(size))
     met = stored(kinds.mapInArrow(_shared(shared), "k long, n int, g long").join(size, "g"))
@@ -196,7 +231,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = kinds.drop("g")
     fits = lambda x, y: (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
     star = met.where((F.col("k") != F.col("star.k")) & fits("n", "star.n")).select(F.col("star.k").alias("a"), F.col("k").alias("b")).distinct()
-    first = _verified(star, docs, kinds, hot)
+    first = _verified(star.unionByName(_alike(kinds.select("k", "fp"))).distinct(), docs, kinds, hot)
     named = components(first)
     left = (met.join(named, met.k == named.node, "left").select("g", "k", "n", F.col("star.k").alias("star"), F.coalesce("root", "k").alias("root")))
     left = stored(left.where("k != star"))
