@@ -185,7 +185,7 @@ def variance_velocity(ev: DataFrame, keys, vmax=0.6, coarse=0.1, fine=0.02, marg
                                              F.struct(F.col("var"), -F.col("i"))).alias("_b")).select(*keys, "_b.*")
 
     ev = cut_lineage(ev)
-    ev = dealt(ev, *keys)                                      # candidates of a key are counted where its events lie
+    ev = dealt(ev, *keys, rows=ev.count() * len(grid))                     # candidates of a key are counted where its events lie
     a = cut_lineage(stage(ev, grid, F.lit(0.0), F.lit(0.0)))
     b = stage(ev.join(a.select(*keys, F.col("vx").alias("_v0"), F.col("vy").alias("_v1")).hint("merge"), keys), sub, F.col("_v0"), F.col("_v1"))
     b = b.withColumnsRenamed({"vx": "fx", "vy": "fy", "var": "fv"})

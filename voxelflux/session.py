@@ -36,6 +36,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dealt(df: DataFrame, *keys) -> DataFrame:
-    """`df` by `keys` over all shuffle partitions. Adaptive execution makes tasks by the size of what they read; this is for rows that multiply afterwards."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def dealt(df: DataFrame, *keys, rows=0, most=1 << 19) -> DataFrame:
+    """`df` by `keys` over all shuffle partitions. Adaptive execution makes tasks by the size of what they read; this is for rows that multiply afterwards.
+    With `rows`, the number that they multiply to, there are as many partitions as give each `most`, so that what a task holds doesn't grow with the table."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // most)), *keys)
