@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cols import bin_of, block_id, geometric_edges, is_flicker, shift_class, tau_bin, uniform
 from ..sensor import Sensor
-from ..session import cut_lineage
+from ..session import cut_lineage, dealt
 from . import shift as S, trains as T
 from .voxels import VOXEL, on_cells
 
@@ -41,14 +41,14 @@ def fit_motion(eg: DataFrame, cand: DataFrame, sensor: Sensor, radius: int, rule
     prev, cur = eg.filter(F.col("rel") == src_rel), eg.filter(F.col("rel") == tgt_rel)
     key = [*GK, "block"]
     target = in_blocks(cur, cand, sensor)
-    sc = S.votes(prev, target, GK, radius, sensor)
+    sc = S.votes(prev, target, GK, radius, sensor, prev.count())
     z = F.lit(0).cast("bigint")
     if rule == "best":
         b = S.best_shift(sc, key)
         d = cand.join(b, key, "left").select(*key, F.coalesce("dx", z).alias("dx"), F.coalesce("dy", z).alias("dy"),
                                              F.coalesce("score", z).alias("pairs"))
         d = cut_lineage(d)
-        dl = S.best_delay(prev, target, d, GK, delays, fit_k, sensor)
+        dl = S.best_delay(prev, target, d, GK, delays, fit_k, sensor, prev.count())
         return cut_lineage(d.join(dl, key, "left").withColumn("delta", F.coalesce("delta", z)))
     d = cut_lineage(S.near_tie_shift(sc, key).filter(F.col("pairs") >= n_min / 2))
     mv = S.moved_into(prev, d.select(*key, "dx", "dy"), GK, sensor)
@@ -78,6 +78,8 @@ def score_cube(eg, motion, sensor: Sensor, grids=GRIDS, n_min=50, min_pixels=5,
     true, pred, null, enter = predict(eg, motion, sensor, n_min)
     tag = lambda e, i: e.select(*key, "tr", "x", "y", "p", *[F.lit(int(i == k)).alias(f"_{k}") for k in range(3)])
     rows = tag(true, 0).unionByName(tag(pred, 1)).unionByName(tag(null, 2))
+    rows = cut_lineage(rows)
+    rows = dealt(rows, *key, rows=rows.count() * len(grids))            # grids multiply where the rows of a block lie
     v = on_cells(rows, grids, sensor).groupBy(*key, "s", "k", *VOXEL).agg(*[F.sum(f"_{k}").alias(f"c{k}") for k in range(3)])
     agg = [F.sum("c0").alias("N"), F.sum("c1").alias("N2"), F.sum(F.least("c0", "c1")).alias("M"), F.sum(F.least("c0", "c2")).alias("M0")]
     span = eg.filter("rel <= 0")
