@@ -287,15 +287,14 @@ def families(ev):
     parts = [name(m0, "static"), name(m0, "translation"),
              name(reconstruct(key, maps.withColumns({"dx": z, "dy": z}), DEMO), "static"), name(reconstruct(key, maps, DEMO), "translation")]
     gw = groups(keys(ev), 4)
-    win = ev.join(gw, ["rec", "w"])
+    win = cut_lineage(ev.join(gw, ["rec", "w"]))
     parts.append(Sb.subset_table(win, DEMO, SHARES, RHOS, ()).select(*cols))
     pred = parts[0]
     for q in parts[1:]:
         pred = pred.unionByName(q)
     names = ["static", "translation", "direct", *[f"thin_{c}" for c in SHARES], *[f"select_{r}" for r in RHOS]]
-    true = win.select("rec", "g", "m", "tr", "x", "y", "p", F.explode(F.array(*[F.lit(n) for n in names])).alias("scheme"))
     ren = lambda e: e.withColumnRenamed("m", "target")                                              # noqa: E731
-    s = V.window_sums(ren(pred), ren(true), DEMO, ("scheme", "rec", "g", "target"), phi=2.0, theta=3.0)
+    s = V.named_window_sums(ren(pred), names, ren(win), DEMO, ("rec", "g", "target"), phi=2.0, theta=3.0, rows=win.count() * len(names))
     f = V.fidelities(s, ["scheme", "rec"])
     return f.select("scheme", "rec", "N", "N2", "M", *[r6(c, c) for c in ("F", "F20", "FH", "Fsnr")])
 
