@@ -81,3 +81,12 @@ def test_steps_name_their_rows(make, monkeypatch):
     q = Ft.coordinate_search(src, src, start, ["rec", "g", "m", "block"], ["rec", "g", "m"], Sensor(12, 10, t0=1000))
     assert q.filter("f1 <= 0").count() == 0
     assert seen[:2] == [30 * 29] * 2                                 # 30 pixels, 29 candidates of a map
+
+
+def test_block_maps_name_their_rows(make, monkeypatch):
+    seen = []
+    monkeypatch.setattr(S, "dealt", lambda df, *keys, rows=0, most=1 << 19: seen.append(rows) or dealt(df, *keys, rows=rows, most=most))
+    ev = make([(30 * i, i % 5, i % 4, i % 2) for i in range(90)], t0=1000)
+    key = ev.filter("w = 0").withColumnRenamed("w", "g").withColumn("block", F.lit(0).cast("bigint"))
+    maps = Ft.block_maps(key, ev, ev.filter("w = 0").select("rec", "w").distinct(), SENSOR, 3, 2)
+    assert maps.count() == 2 and seen == [key.count() * 2 * 25]      # two targets, displacements of a radius of 2 px

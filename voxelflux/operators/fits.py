@@ -31,7 +31,7 @@ def block_maps(key: DataFrame, ev: DataFrame, ks: DataFrame, sensor: Sensor, K:
     k = ["rec", "g", "m"]
     src = key.withColumn("m", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(K - 1).cast("bigint"))))
     tru = group_targets(ev, ks, K).select(*k, "tr", "x", "y", "p")
-    b = best_shift(voxel_votes(src, tru, k, radius, cell, sensor), [*k, "block"])
+    b = best_shift(voxel_votes(src, tru, k, radius, cell, sensor, rows=key.count() * (K - 1)), [*k, "block"])
     every = src.select(*k, "block").distinct().join(b, [*k, "block"], "left")
     z = F.lit(0).cast("bigint")
     return every.select(*k, "block", F.coalesce("dx", z).alias("dx"), F.coalesce("dy", z).alias("dy"), z.alias("ia"), z.alias("ib"),

@@ -38,11 +38,11 @@ def votes(ref: DataFrame, tru: DataFrame, keys, radius: int, sensor: Sensor, row
 
 
 def voxel_votes(src: DataFrame, tru: DataFrame, keys, radius: int, cell, sensor: Sensor, by_block=("block",), centre=None,
-                per_row_radius=None, bounds=None) -> DataFrame:
+                per_row_radius=None, bounds=None, rows=0) -> DataFrame:
     """scores(keys, by_block, dx, dy, score) on voxels of several pixels: the moved counts of a voxel are summed per
     displacement before the minimum with the true count is taken. `centre` = (cx, cy) columns of `src` shift the search;
     `per_row_radius` is a column of `src` no larger than `radius`; `bounds` = (x0, x1, y0, y1) columns of `src` hold the
-    rectangle that moved pixels must stay in.
+    rectangle that moved pixels must stay in. `rows` is about how many `src` has: its tiles are dealt over as many partitions as the displacements need.
 
     A voxel of the truth lies on one tile, so its pairs are summed where the tile's rows met; only sums per displacement are shuffled."""
     s, k = cell
@@ -58,7 +58,7 @@ def voxel_votes(src: DataFrame, tru: DataFrame, keys, radius: int, cell, sensor:
     b = b.withColumns({"_tx": F.floor(F.col("bx") * s / side), "_ty": F.floor(F.col("by") * s / side)})
     o = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(s) for j in range(s)])).alias("_o")
     on = [*keys, "p", "tb", "_tx", "_ty"]
-    j = b.join(dealt(_near(a, side, "_px", "_py"), *on).hint("merge"), on).select("*", o)
+    j = b.join(dealt(_near(a, side, "_px", "_py"), *on, rows=rows * (2 * radius + 1) ** 2, most=1 << 21).hint("merge"), on).select("*", o)
     mx, my = F.col("bx") * s + F.col("_o.i"), F.col("by") * s + F.col("_o.j")
     r = F.col(per_row_radius) if per_row_radius else F.lit(radius)
     j = j.withColumns({"_mx": mx, "_my": my, "dx": mx - F.col("x"), "dy": my - F.col("y")}).filter(

@@ -56,7 +56,7 @@ FIT = f"""tgv AS (SELECT k.rec, k.w AS g, ev.w - k.w AS m, p, least(2, tr*3//864
 
 
 def fitted(ev):
-    key = key_of(ev)
+    key = cut_lineage(key_of(ev))                   # read by the fit, its count and its callers
     return key, Ft.block_maps(key, ev, keys(ev), DEMO, 4, R9)
 
 
