@@ -125,12 +125,13 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     index = fps.mapInArrow(lambda it: _keys(it, False), "key long, fp long")
     query = fps.mapInArrow(lambda it: _keys(it, True), "key long, fp long")
     size = index.groupBy("key").agg(F.count(F.lit(1)).alias("ni"), F.min("fp").alias("only"))
-    met = stored(query.join(size, "key").where("ni > 1 or fp != only").select("key", "fp", "ni"))
+    # Keys are many rows a fingerprint, which the planner sizes as one; so each meets its other side in a merge join.
+    met = stored(query.hint("merge").join(size, "key").where("ni > 1 or fp != only").select("key", "fp", "ni"))
     asked = met.groupBy("key").agg(F.count(F.lit(1)).alias("nq"))
     block = lambda n: F.pmod(F.xxhash64("fp"), F.ceil(F.col(n) / BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / BLOCK) - 1))
-    left = index.join(size.select("key", "ni"), "key").join(asked, "key").select("key", "fp", block("ni").alias("i"), every("nq").alias("j"), F.lit(True).alias("mine"))
-    right = met.join(asked, "key").select("key", "fp", block("nq").alias("j"), every("ni").alias("i"), F.lit(False).alias("mine"))
+    left = index.hint("merge").join(size.select("key", "ni"), "key").join(asked.hint("merge"), "key").select("key", "fp", block("ni").alias("i"), every("nq").alias("j"), F.lit(True).alias("mine"))
+    right = met.hint("merge").join(asked, "key").select("key", "fp", block("nq").alias("j"), every("ni").alias("i"), F.lit(False).alias("mine"))
     pair = left.unionByName(right).groupBy("key", "i", "j").agg(
         F.collect_list(F.when(F.col("mine"), F.col("fp"))).alias("mine"), F.collect_list(F.when(~F.col("mine"), F.col("fp"))).alias("theirs"))
     return pair.where("size(mine) > 0 and size(theirs) > 0").select("mine", "theirs").mapInArrow(_forest(bits), "a long, b long")
