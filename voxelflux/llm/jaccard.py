@@ -283,7 +283,8 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = stored(rows.groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("g").alias("g"), F.min("fp").alias("fp"), F.min("h").alias("h")))
     size = stored(kinds.select("k", "n", F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("star")).where("c > 1"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(size))
-    met = stored(kinds.mapInArrow(_shared(shared), "k long, n int, g long, place int").join(size, "g"))
+    # Rows by shingle, many a set, which the planner sizes as few: a merge join, so that they aren't broadcast.
+    met = stored(kinds.mapInArrow(_shared(shared), "k long, n int, g long, place int").hint("merge").join(size, "g"))
     forget(size)
     kinds = kinds.drop("g")
     fits = lambda x, y: (5 * F.col(x) >= 4 * F.col(y)) & (5 * F.col(y) >= 4 * F.col(x))
